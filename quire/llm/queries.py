@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm.runtime import ready
+from quire.llm.runtime import bucket_of, ready
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import byte_cnn
+
+    docs = _table(spark, sf_dir, "documents")
+    model = byte_cnn.train(docs.where(byte_cnn.held_in(docs.doc_id, 4, 2)))
+    scored = byte_cnn.predict(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (bucket_of(scored.doc_id, 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.simhash import near_duplicates
 
