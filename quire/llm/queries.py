@@ -11,6 +11,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import toxic_crf
+
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    model = toxic_crf.train(docs, labels.where(bucket_of(labels.doc_id, 5) != 0))
+    scored = toxic_crf.score(docs, model)
+    return scored.select("doc_id", (bucket_of(scored.doc_id, 5) == 0).alias("held_out"), "score", "predicted", "n_tagged", "spans")
+
+
 def op5_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm import byte_cnn
 
