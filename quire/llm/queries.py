@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.llm import sql
 from quire.llm.runtime import bucket_of, ready
 
 
@@ -29,6 +30,12 @@ def op5_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (bucket_of(scored.doc_id, 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_line_edit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.line_edit import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.simhash import near_duplicates
 
@@ -40,4 +47,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_edit_dedup": sql.OP8}
