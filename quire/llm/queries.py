@@ -12,6 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_rp_forest_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.rp_forest import link_embeddings
+
+    return link_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm import toxic_crf
 
