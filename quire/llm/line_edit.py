@@ -5,8 +5,9 @@ as one.  A distinct line is cut into ``max_edits + 1`` segments; two lines withi
 ``max_edits`` edits share at least one of them, at a place that the edits before
 and after it can account for.  So each line files its segments under (length,
 segment number, text) and probes, for its own and each smaller length in reach,
-the few substrings that could be such a segment.  Candidates are verified by a
-banded edit distance that keeps, for each number of edits, the diagonals reached
+the few substrings that could be such a segment.  Where lines meet, what is left
+of them is cut and probed in the same way.  Candidates are verified by a banded
+edit distance that keeps, for each number of edits, the diagonals reached
 as bits of one long.
 """
 
@@ -21,23 +22,25 @@ from quire.llm.runtime import cut, ready
 BROADCAST_ROWS = 100_000
 
 
-def segment_keys(line: str, length: str, max_edits: int) -> Column:
-    """Array of (``key``, ``filed``, ``probes``): where a line is filed and where it looks for others.
+def segment_keys(line: str, length: str, max_edits: int, with_rest: bool = False) -> Column:
+    """Array of (``key``, ``filed``): the keys under which a line is filed or looks for others.
 
-    Both names are columns: the text and its length in characters, at least ``max_edits + 1``.
+    ``line`` and ``length`` name the columns of the text and its length in
+    characters.  ``with_rest`` adds what is left of the line without the segment.
     """
     parts, out = max_edits + 1, []
     for shorter in range(max_edits + 1):
         size = f"({length} - {shorter})"
-        base, rest = f"({size} div {parts})", f"({size} % {parts})"
+        base, over = f"({size} div {parts})", f"({size} % {parts})"
         for i in range(1, parts + 1):
-            at = f"(1 + {i - 1} * {base} + greatest(0, {i - 1} - ({parts} - {rest})))"
-            span = f"({base} + if({i} > {parts} - {rest}, 1, 0))"
+            at = f"(1 + {i - 1} * {base} + greatest(0, {i - 1} - ({parts} - {over})))"
+            span = f"({base} + if({i} > {parts} - {over}, 1, 0))"
             first, last = max(1 - i, shorter - (parts - i)), min(i - 1, shorter + (parts - i))
             for off in range(first, last + 1):
                 filed = shorter == 0 and off == 0
                 key = f"xxhash64({size}, {i}, substring({line}, {at} + {off}, {span}))"
-                out.append(F.expr(f"named_struct('key', {key}, 'filed', {str(filed).lower()})"))
+                rest = f", 'rest', concat(substring({line}, 1, {at} + {off} - 1), substring({line}, {at} + {off} + {span}))" if with_rest else ""
+                out.append(F.expr(f"named_struct('key', {key}, 'filed', {str(filed).lower()}{rest})"))
     return F.array(*out)
 
 
@@ -79,21 +82,36 @@ def _places(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Data
     return rows.where((F.length("line") >= min_chars) & F.col("doc").isNotNull()).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line"), "size": F.length("line")})
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast if its checked size allows it, else left to a shuffle join."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def near_lines(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, max_edits: int) -> DataFrame:
-    """Classes of equal lines (``first``: place of the first copy) that have an earlier line within reach."""
+    """Classes of equal lines (``first``: place of the first copy) that have an earlier line within reach.
+
+    Keys with a single tenant go first.  The texts of the other keys' tenants are
+    fetched, and what is left of a tenant without the shared segment, which must
+    again be within ``max_edits`` of the other's, is cut into segments once more:
+    lines are paired only if they agree in both.
+    """
     filed = classes.select("first", F.explode("keys").alias("k")).select("first", "k.key", "k.filed")
-    mine, other = filed.where("filed").select("key", F.col("first").alias("a")), filed.select("key", F.col("first").alias("b"))
-    pairs = mine.join(other, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = cut(pairs)
-    ends = pairs.select(F.col("a").alias("place")).union(pairs.select("b")).distinct()
-    wanted = ends.groupBy("place.doc").agg(F.collect_list("place").alias("places"))
-    if pairs.count() <= BROADCAST_ROWS:
+    shared = filed.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("filed").alias("any_filed")).where("n > 1 and any_filed")
+    shared = cut(shared.select("key"))
+    tenants = cut(filed.join(_small(shared), "key", "left_semi").select("first").distinct())
+    wanted = tenants.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list("first").alias("places"))
+    if tenants.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     found = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).join(wanted, "doc")
     found = found.select(F.split("text", "\n", -1).alias("lines"), F.explode("places").alias("place")).select("place", F.expr("get(lines, place.line_no)").alias("line"))
-    texts = found.where(F.xxhash64("line") == F.col("place.h1")).dropDuplicates(["place"])
-    both = pairs.join(texts.select(F.col("place").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("place").alias("b"), F.col("line").alias("line_b")), "b")
-    return both.where(within_edits("line_a", "line_b", max_edits)).select(F.col("b").alias("first")).distinct()
+    texts = found.where(F.xxhash64("line") == F.col("place.h1")).dropDuplicates(["place"]).withColumn("size", F.length("line"))
+    parts = texts.select("place", "line", F.explode(segment_keys("line", "size", max_edits, with_rest=True)).alias("k")).select("place", "line", "k.*")
+    parts = parts.join(_small(shared), "key", "left_semi").withColumn("rest_size", F.length("rest"))
+    parts = parts.select("place", "line", "key", "filed", F.explode(segment_keys("rest", "rest_size", max_edits)).alias("k"))
+    parts = parts.select("place", "line", F.xxhash64("key", "k.key").alias("key"), (F.col("filed") & F.col("k.filed")).alias("filed"))
+    mine = parts.where("filed").select("key", F.col("place").alias("a"), F.col("line").alias("line_a"))
+    pairs = mine.join(parts.select("key", "filed", F.col("place").alias("b"), F.col("line").alias("line_b")), "key").where("a < b or (a > b and not filed)")
+    return pairs.where(within_edits("line_a", "line_b", max_edits)).select(F.greatest("a", "b").alias("first")).distinct()
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = 20) -> DataFrame:
