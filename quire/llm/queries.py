@@ -12,6 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.url_rank import judge
+
+    return judge(_table(spark, sf_dir, "pages"))
+
+
 def op2_rp_forest_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.rp_forest import link_embeddings
 
@@ -36,6 +42,12 @@ def op5_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (bucket_of(scored.doc_id, 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op7_ball_tree_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.ball_tree import top_products
+
+    return top_products(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_line_edit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.line_edit import dedup_lines
 
@@ -53,4 +65,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_edit_dedup": sql.OP8}
+    return {
+        "op1_url_rank": sql.op1(),
+        "op7_ball_tree_top_products": sql.OP7,
+        "op8_line_edit_dedup": sql.OP8,
+    }

@@ -1,5 +1,66 @@
 """DuckDB SQL for those operators of this subpackage that SQL can express."""
 
+#: The rules and the rank's damping and rounds are written out; each round is a query of its own.
+def op1(damping: float = 0.85, rounds: int = 12) -> str:
+    steps, last = [], "seeds"
+    for i in range(1, rounds + 1):
+        steps.append(
+            f"rank{i} AS (SELECT kind, host, sum(score) AS score FROM (SELECT e.kind, e.dst AS host, s.score * e.share * {damping} AS score FROM shares e JOIN {last} s ON e.kind = s.kind AND e.src = s.host"
+            f" UNION ALL SELECT kind, host, score * (1 - {damping}) FROM seeds) GROUP BY kind, host)"
+        )
+        last = f"rank{i}"
+    return rf"""
+WITH rules(rule_host, rule_path, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), cutup AS (
+  SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, CAST(instr(url, '://') + 3 AS BIGINT)) ELSE '' END AS rest FROM pages
+), parted AS (
+  SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cutup
+), fitting AS (
+  SELECT p.page_id, p.host, arg_max(r.rule_host || r.rule_path, length(r.rule_host || r.rule_path)) AS rule, arg_max(r.verdict, length(r.rule_host || r.rule_path)) AS verdict
+  FROM parted p JOIN rules r ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path) GROUP BY p.page_id, p.host
+), hosts AS (
+  SELECT host, count(*) AS pages FROM parted WHERE host <> '' GROUP BY host
+), given AS (
+  SELECT CASE verdict WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, f.host, count(*) / any_value(h.pages) AS weight FROM fitting f JOIN hosts h USING (host) GROUP BY ALL
+), seeds AS (
+  SELECT kind, host, weight / sum(weight) OVER (PARTITION BY kind) AS score FROM given
+), linked AS (
+  SELECT DISTINCT page_id, host AS src, lower(unnest(regexp_extract_all(html, '(?i)(?:href|src)\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/"''?#\s>]+)', 1))) AS dst FROM parted WHERE host <> ''
+), suffixes AS (
+  SELECT DISTINCT array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.') AS src FROM hosts, LATERAL (SELECT unnest(range(1, len(string_split(host, '.')) + 1)) AS i) x
+), tree AS (
+  SELECT src, substr(src, CAST(instr(src, '.') + 1 AS BIGINT)) AS dst FROM suffixes WHERE contains(src, '.')
+), edges AS (
+  SELECT src, dst, sum(weight) AS weight FROM (
+    SELECT src, dst, 1.0::DOUBLE AS weight FROM linked WHERE src <> dst
+    UNION ALL SELECT src, dst, 1.0 FROM tree WHERE contains(dst, '.') UNION ALL SELECT dst, src, 1.0 FROM tree WHERE contains(dst, '.')
+  ) GROUP BY src, dst
+), shares AS MATERIALIZED (
+  SELECT 'trust' AS kind, src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM edges
+  UNION ALL SELECT 'distrust', dst, src, weight / sum(weight) OVER (PARTITION BY dst) FROM edges
+), {", ".join(steps)}, scores AS (
+  SELECT host, round(coalesce(sum(score) FILTER (WHERE kind = 'trust'), 0), 9) AS trust, round(coalesce(sum(score) FILTER (WHERE kind = 'distrust'), 0), 9) AS distrust FROM {last} GROUP BY host
+)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, CASE WHEN coalesce(s.distrust, 0) > coalesce(s.trust, 0) THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(s.trust, 0.0)::DOUBLE AS trust, coalesce(s.distrust, 0.0)::DOUBLE AS distrust
+FROM parted p LEFT JOIN fitting f ON p.page_id = f.page_id LEFT JOIN scores s ON p.host = s.host
+"""
+
+
+OP7 = """
+WITH vectors AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER best AS INT) AS rank, vec_id, score FROM scores
+WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER best <= 10
+"""
+
 #: Equal lines keep their first copy; a line one edit from an earlier one goes.  Two lines one edit
 #: apart share their first or their last half; the place where they first differ decides.
 OP8 = r"""
