@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quire.llm import sql
 from quire.llm.runtime import bucket_of, ready
@@ -24,6 +25,13 @@ def op2_rp_forest_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_embeddings(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.raking import mix
+
+    mixed = mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "sampled")
+
+
 def op4_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm import toxic_crf
 
@@ -60,6 +68,15 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stand in directories of their source; the first of each fifty is its directory's licence file."""
+    from quire.llm.license_tfidf import scan
+
+    name = F.expr("if(doc_id % 50 = 0, 'LICENSE', concat('doc', doc_id, '.txt'))")
+    docs = _table(spark, sf_dir, "documents")
+    return scan(docs.select("doc_id", "text", F.concat_ws("/", "source", F.expr("doc_id div 1000"), F.expr("doc_id div 50"), name).alias("path")))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -67,6 +84,8 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_rank": sql.op1(),
+        "op3_raked_mix": sql.op3(),
         "op7_ball_tree_top_products": sql.OP7,
         "op8_line_edit_dedup": sql.OP8,
+        "op10_license_scan": sql.OP10,
     }

@@ -49,6 +49,41 @@ FROM parted p LEFT JOIN fitting f ON p.page_id = f.page_id LEFT JOIN scores s ON
 """
 
 
+#: Each margin's fit in each round is a query, and so is each step of the scale.
+def op3(rounds: int = 12, budget: float = 0.5, steps: int = 16, seed: int = 20) -> str:
+    powers = {"source": 0.5, "lang": 0.6, "topic": 0.8}
+    wanted = ", ".join(f"want_{m} AS (SELECT {m}, pow(n, {p}) / sum(pow(n, {p})) OVER () AS want FROM (SELECT {m}, CAST(sum(tokens) AS DOUBLE) AS n FROM cells GROUP BY {m}))" for m, p in powers.items())
+    fits, last = [], "w0"
+    for i in range(rounds):
+        for m in powers:
+            now = f"w{len(fits) + 1}"
+            fits.append(f"{now} AS MATERIALIZED (SELECT source, lang, topic, tokens, weight * want / sum(weight) OVER (PARTITION BY {m}) AS weight FROM {last} JOIN want_{m} USING ({m}))")
+            last = now
+    scales = [f"s0 AS (SELECT {budget}::DOUBLE AS scale)"]
+    for i in range(1, steps + 1):
+        scales.append(
+            f"s{i} AS MATERIALIZED (SELECT greatest(any_value(scale), coalesce(({budget} * sum(tokens) - coalesce(sum(tokens) FILTER (WHERE rate * scale >= 1), 0))"
+            f" / nullif(sum(tokens * rate) FILTER (WHERE rate * scale < 1), 0), 0)) AS scale FROM rates, s{i - 1})"
+        )
+    return f"""
+WITH rows AS (
+  SELECT doc_id, source, lang, CAST(len(regexp_extract_all(text, '[^ \t\n\r]+')) AS INT) AS n_tokens,
+    CASE WHEN (length(text) - length(translate(text, '0123456789#$%&*|@!<>=_/', ''))) * 8 > length(text) THEN 'noisy'
+      WHEN length(text) < (length(text) - length(replace(text, chr(10), '')) + 1) * 80 THEN 'listing' ELSE 'prose' END AS topic FROM documents
+), cells AS MATERIALIZED (
+  SELECT source, lang, topic, sum(n_tokens) AS tokens FROM rows GROUP BY source, lang, topic
+), {wanted}, w0 AS (SELECT *, tokens / sum(tokens) OVER () AS weight FROM cells),
+{", ".join(fits)}, rates AS MATERIALIZED (
+  SELECT *, CASE WHEN tokens > 0 THEN weight * sum(tokens) OVER () / tokens ELSE 0 END AS rate FROM {last}
+), {", ".join(scales)}, drawn AS (
+  SELECT source, lang, topic, round(least(1.0, rate * scale), 9) AS probability FROM rates, s{steps}
+)
+SELECT doc_id, source, lang, topic, n_tokens, probability,
+  CAST('0x' || substr(md5(doc_id || ':{seed}'), 1, 8) AS BIGINT) / 4294967296.0 < probability AS sampled
+FROM rows JOIN drawn USING (source, lang, topic)
+"""
+
+
 OP7 = """
 WITH vectors AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -92,3 +127,46 @@ SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE
   CAST(count(*) AS INT) AS n_lines, CAST(count(*) FILTER (WHERE NOT stays) AS INT) AS n_dropped
 FROM marked GROUP BY doc_id
 """
+
+
+def _templates() -> str:
+    from quire.llm.license_tfidf import TEMPLATES
+
+    return ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
+
+
+OP10 = rf"""
+WITH templates(t, license, line) AS (VALUES {_templates()}),
+files AS (
+  SELECT doc_id, text, concat_ws('/', source, doc_id // 1000, doc_id // 50, CASE WHEN doc_id % 50 = 0 THEN 'LICENSE' ELSE 'doc' || doc_id || '.txt' END) AS path FROM documents
+), lines AS (
+  SELECT DISTINCT doc_id, path, line FROM (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS line FROM files)
+  WHERE regexp_matches(line, '(?i)licen[sc]e|copyright|permission is hereby|redistribution|released under|all rights reserved')
+), words AS (
+  SELECT 'l' || line AS k, list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda w: w <> '') AS ws, count(*) AS n FROM lines GROUP BY line
+  UNION ALL SELECT 't' || t, list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda w: w <> ''), 1 FROM templates
+), idf AS (
+  SELECT term, ln((SELECT sum(n) + 1 FROM words)::DOUBLE / (sum(n) + 1)) + 1 AS idf FROM (SELECT n, unnest(list_distinct(ws)) AS term FROM words) GROUP BY term
+), vectors AS (
+  SELECT k, term, (1 + ln(count(*))) * any_value(idf) AS w FROM (SELECT k, unnest(ws) AS term FROM words) JOIN idf USING (term) GROUP BY k, term
+), unit AS (
+  SELECT k, term, w / sqrt(sum(w * w) OVER (PARTITION BY k)) AS w FROM vectors
+), scored AS (
+  SELECT substr(a.k, 2) AS line, t.license, round(sum(a.w * b.w), 9) AS score FROM unit a JOIN unit b USING (term) JOIN templates t ON b.k = 't' || t.t
+  WHERE a.k[1] = 'l' AND b.k[1] = 't' GROUP BY a.k, t.t, t.license HAVING round(sum(a.w * b.w), 9) >= 0.8
+), own AS (
+  SELECT doc_id, path, license, score FROM lines JOIN scored USING (line) QUALIFY row_number() OVER (PARTITION BY doc_id, path ORDER BY score DESC, license) = 1
+), given AS (
+  SELECT regexp_replace(path, '(^|/)[^/]*$', '') AS license_dir, license, score FROM own WHERE doc_id % 50 = 0
+  QUALIFY row_number() OVER (PARTITION BY license_dir ORDER BY score DESC, license) = 1
+), dirs AS (
+  SELECT doc_id, path, regexp_replace(path, '(^|/)[^/]*$', '') AS dir FROM files
+), above AS (
+  SELECT d.doc_id, g.license, g.score, g.license_dir FROM dirs d JOIN given g ON d.dir = g.license_dir OR starts_with(d.dir, g.license_dir || '/') OR g.license_dir = ''
+  QUALIFY row_number() OVER (PARTITION BY d.doc_id ORDER BY length(g.license_dir) DESC) = 1
+)
+SELECT d.doc_id, d.path, coalesce(o.license, a.license) AS license, coalesce(o.score, a.score) AS score,
+  CASE WHEN o.license IS NOT NULL THEN 'header' WHEN a.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN o.license IS NULL THEN a.license_dir END AS license_dir
+FROM dirs d LEFT JOIN own o USING (doc_id) LEFT JOIN above a USING (doc_id)
+"""
