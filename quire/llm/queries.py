@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from quire.llm import sql
 from quire.llm.runtime import bucket_of, ready
 
+#: A vocabulary file of a public tokenizer.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,6 +53,15 @@ def op5_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (bucket_of(scored.doc_id, 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import lattice
+
+    table = lattice.load(PIECES)
+    rows = lattice.decode(lattice.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), table), table)
+    digest = F.md5(F.concat_ws(",", "piece_ids").cast("binary"))
+    return rows.select("doc_id", "n_pieces", digest.alias("ids_md5"), F.col("decoded").eqNullSafe(F.translate("text", lattice.SPACE, " ")).alias("round_trip"))
+
+
 def op7_ball_tree_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.ball_tree import top_products
 
