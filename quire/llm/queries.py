@@ -89,8 +89,15 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(docs.select("doc_id", "text", F.concat_ws("/", "source", F.expr("doc_id div 1000"), F.expr("doc_id div 50"), name).alias("path")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(ready(spark), sf_dir)
+
+
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return found | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

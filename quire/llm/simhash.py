@@ -123,3 +123,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = connected_components(links(classes.where("rep is not null")))
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+    """Rows of ``docs`` whose document is the first, by id, of its group of near-duplicates.
+
+    Of rows with the same id one stays.  Rows with a null id can't be told apart
+    by the groups and all stay.
+    """
+    groups = near_duplicates(docs, id_col, text_col, words)
+    first = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_first")).distinct()
+    kept = docs.join(first, F.col(f"`{id_col}`") == F.col("_first"), "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
