@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.runtime import cut, ready
@@ -20,7 +20,7 @@ from quire.llm.runtime import cut, ready
 MARGINS = ("source", "lang", "topic")
 #: A margin's targets: the exponent that its shares of the corpus are flattened by.
 TARGETS: Mapping[str, float | Mapping[str, float]] = {"source": 0.5, "lang": 0.6, "topic": 0.8}
-ROUNDS, BUDGET_STEPS, BUDGET, SEED = 12, 16, 0.5, 20
+ROUNDS, ROUNDS_PER_CUT, BUDGET_STEPS, BUDGET, SEED = 12, 4, 16, 0.5, 20
 #: Cells are sent to every task up to this number, and joined by a shuffle beyond it.
 BROADCAST_CELLS = 100_000
 
@@ -62,18 +62,21 @@ def rake(cells: DataFrame, margins: tuple[str, ...] = MARGINS, targets: Mapping
     """Adds ``weight``: the cells' token weights, summing to one, fitted to the margins' targets.
 
     ``cells`` has a row for each combination of the margins, with ``tokens``.  A
-    value whose cells weigh nothing stays at nothing.
+    value whose cells weigh nothing stays at nothing.  What is shuffled are cells,
+    sums of documents, so a source with many documents is one row for each of its
+    languages and topics.
     """
     total = cells.agg(F.sum("tokens").cast("double").alias("all_tokens"))
     state = cells.join(F.broadcast(total)).withColumn("weight", F.when(F.col("all_tokens") > 0, F.col("tokens") / F.col("all_tokens")).otherwise(0.0))  # one row
     for m in margins:
         state = state.join(_margin_targets(cells, m, targets[m]), m)
     state = cut(state)
-    for _ in range(rounds):
+    for i in range(1, rounds + 1):
         for m in margins:
-            sums = state.groupBy(m).agg(F.sum("weight").alias("now"))
-            state = state.join(sums, m).withColumn("weight", F.when(F.col("now") > 0, F.col("weight") * F.col(f"want_{m}") / F.col("now")).otherwise(0.0)).drop("now")
-        state = cut(state)
+            now = F.sum("weight").over(Window.partitionBy(m))
+            state = state.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"want_{m}") / now).otherwise(0.0))
+        if i % ROUNDS_PER_CUT == 0:
+            state = cut(state)
     return state
 
 
