@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -66,8 +67,28 @@ class PieceTable:
 
     def encode_unit(self, unit: str) -> bytes:
         """Ids of one unit as 32-bit integers."""
-        symbols = self._merge(unit) if self.merges else self._viterbi(unit)
-        return np.array([i for s in symbols for i in self.plain(s)], np.int32).tobytes()
+        if not self.merges:
+            symbols = self._viterbi(unit)
+        else:
+            symbols = self._merge_short(unit) if len(unit) <= LONGEST_UNIT else self._merge(unit)
+        try:
+            return array("i", [self.ids[s] for s in symbols]).tobytes()
+        except KeyError:  # a character outside the vocabulary
+            return array("i", [i for s in symbols for i in self.plain(s)]).tobytes()
+
+    def _merge_short(self, unit: str) -> list[str]:
+        """The same merges as ``_merge``, without a heap."""
+        get, none, symbols = self.scores.get, float("-inf"), list(unit)
+        pairs = [get(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while pairs and (best := max(pairs)) > none:
+            i = pairs.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(symbols[i] + symbols[i + 1], none)
+            if i:
+                pairs[i - 1] = get(symbols[i - 1] + symbols[i], none)
+        return symbols
 
     def _merge(self, unit: str) -> list[str]:
         n, scores = len(unit), self.scores
@@ -270,14 +291,19 @@ def decode(encoded: DataFrame, table: PieceTable, ids_col: str = "piece_ids") ->
     if table.bytes_from >= 0:
         spelled[table.bytes_from : table.bytes_from + 256] = [bytes([b]) for b in range(256)]
     size = len(spelled)
+    spelled.append(b"")  # of ids that are null or outside the table
 
-    def text(ids: list[int]) -> str:
-        raw = b"".join([spelled[i] for i in ids if i is not None and 0 <= i < size])
+    def text(ids: np.ndarray) -> str:
+        raw = b"".join(map(spelled.__getitem__, ids.tolist()))
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if ids is None else text(ids) for ids in batch.column(place).to_pylist()]
+            lists = batch.column(place)
+            ids = lists.values.fill_null(size).to_numpy(zero_copy_only=False)
+            ids = np.where((ids >= 0) & (ids < size), ids, size)
+            cuts, lost = lists.offsets.to_numpy(), lists.is_null().to_numpy(zero_copy_only=False)
+            texts = [None if n else text(ids[a:b]) for a, b, n in zip(cuts[:-1], cuts[1:], lost, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema.fieldNames())
 
     return encoded.mapInArrow(run, schema)

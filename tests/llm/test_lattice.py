@@ -21,6 +21,12 @@ def test_same_ids_as_the_library(spark, data):
         assert r.decoded == texts[r.doc_id].replace("▁", " ")
 
 
+def test_both_ways_of_merging_agree(data):
+    table = load(PIECES)
+    for word in ["▁" + "".join(c) for c in zip("tahbeéing" * 8, "heorn" * 14, "ingéa" * 14, strict=False)] + ["aaaaaaa", "▁▁▁▁▁a", "thethethe", "\r\r;\r", "x", "▁loweischaftchen", "erthentionnation"]:
+        assert table._merge(word) == table._merge_short(word)
+
+
 def test_viterbi_finds_the_best_of_all_paths():
     table = load(PIECES, merges=False)
 
