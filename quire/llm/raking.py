@@ -33,8 +33,8 @@ def topic_of(text: Column) -> Column:
     """What a text looks like: noisy (many signs and digits), listing (short lines) or prose."""
     text = F.coalesce(text, F.lit(""))
     size = F.length(text)
-    signs = size - F.length(F.translate(text, "0123456789#$%&*|@!<>=_/", ""))
-    lines = size - F.length(F.translate(text, "\n", "")) + 1
+    signs = F.regexp_count(text, F.lit("[0-9#$%&*|@!<>=_/]"))
+    lines = F.regexp_count(text, F.lit("\n")) + 1
     return F.when(signs * 8 > size, "noisy").when(size < lines * 80, "listing").otherwise("prose")
 
 
