@@ -56,6 +56,10 @@ def list_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = E
     """
     kinds = ",".join(e.lstrip(".") for e in extensions)
     found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{kinds}}}").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    if not recursive:  # Spark lists folders below as if they were partitions
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        root = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+        found = found.where(F.regexp_replace("path", "/[^/]*$", "") == root.rstrip("/"))
     parts = F.split("path", "/", -1)
     return found.select("path", F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("file"), "length", "content")
 
