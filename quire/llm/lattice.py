@@ -17,6 +17,7 @@ fold where it stands.
 from __future__ import annotations
 
 import heapq
+import marshal
 import re
 from array import array
 from collections.abc import Iterator
@@ -35,6 +36,7 @@ UNIT = rf"{SPACE}+[^{SPACE}\n\t]*|[^{SPACE}\n\t]+|[\n\t]"
 _UNIT = re.compile(UNIT)
 LONGEST_UNIT = 60  # of the dictionary; its symbols' borders are bits of one long
 DICTIONARY = 1 << 18  # most units of the dictionary
+CACHED_UNITS = 60_000  # most units of the tail that a worker remembers
 _UNKNOWN_PENALTY = 10.0
 
 
@@ -233,6 +235,17 @@ def dictionary(docs: DataFrame, table: PieceTable, text_col: str = "text", most:
     return {u: flat[a:b].tobytes() for u, a, b in zip(rows.column("unit").to_pylist(), offsets[:-1], offsets[1:], strict=True)} if len(values) else {}
 
 
+class Lexicon(dict):
+    """Units and their ids; it travels marshalled, which takes no memory beyond its own to unpack."""
+
+    def __reduce__(self):
+        return _unpacked, (marshal.dumps(dict(self), 2),)
+
+
+def _unpacked(raw: bytes) -> Lexicon:
+    return Lexicon(marshal.loads(raw))
+
+
 def encode_text(text: str, table: PieceTable, known: dict[str, bytes]) -> bytes:
     """Ids of a whole text as 32-bit integers."""
     if not text:
@@ -245,7 +258,7 @@ def encode_text(text: str, table: PieceTable, known: dict[str, bytes]) -> bytes:
             if ids is None:
                 ids = table.encode_unit(unit)
                 if len(unit) <= LONGEST_UNIT:
-                    if len(cache) >= 300_000:
+                    if len(cache) >= CACHED_UNITS:
                         cache.clear()
                     cache[unit] = ids
         out.append(ids)
@@ -262,7 +275,7 @@ def encode(docs: DataFrame, table: PieceTable, text_col: str = "text", most: int
     spark = ready(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("piece_ids", "n_pieces")]
     docs = docs.select(*[F.col(f"`{c}`") for c in rest])
-    shared = spark.sparkContext.broadcast((table, dictionary(docs, table, text_col, most)))  # at most ``most`` units
+    shared = spark.sparkContext.broadcast((table, Lexicon(dictionary(docs, table, text_col, most))))  # at most ``most`` units
     schema = T.StructType([*docs.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType())])
     place = rest.index(text_col)
 
