@@ -305,6 +305,8 @@ SELECT category, threshold::INT AS threshold, round(avg(confidence), 6) AS avg_c
         "first_files": f"WITH {SCORES} SELECT category, file FROM (SELECT DISTINCT category, file FROM scores) QUALIFY row_number() OVER (PARTITION BY category ORDER BY file) <= 5",
         "top_keywords": f"""WITH {SEG}, {_kw_rows()}, hit AS (SELECT DISTINCT file, key, keyword FROM seg JOIN dim ON contains(low, lower(keyword)))
 SELECT file, key, string_agg(keyword, ',' ORDER BY keyword) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY file, key ORDER BY keyword) AS n FROM hit) WHERE n <= 10 GROUP BY file, key""",
+        "segment_pages": f"WITH {SEG} SELECT file, page || '-' || seg AS page_key, count(*) OVER w AS n_segments, max(ink) OVER w AS max_ink FROM seg WINDOW w AS (PARTITION BY file, page)",
+        "first_page": f"WITH {SEG} SELECT file, page, seg, doc_id FROM seg QUALIFY row_number() OVER (PARTITION BY file, page ORDER BY seg) = 1",
         "config_keywords": f"WITH {_kw_rows()} SELECT category, key, lang, count(*) AS n, sum(len(string_split(keyword, ' ')))::BIGINT AS n_words FROM dim GROUP BY category, key, lang",
         "ink_ratio": """WITH v AS (SELECT vec_id, embedding, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi FROM embeddings
 ), img AS (

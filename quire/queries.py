@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.config import Config, keyword_dim, label_dim
 from quire.functions import bands, text
-from quire.operators import boxes, classify, frequency, overlap, raster, report, verdicts
+from quire.operators import boxes, classify, frequency, overlap, raster, report, segments, verdicts
 from quire.plans import fixtures
 from quire.plans.identity import detect_identities
 
@@ -296,6 +296,20 @@ def top_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.top_keywords(found, "file", "key", most=10).withColumn("keywords", F.array_join("keywords", ","))
 
 
+@_query
+def segment_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each segment with its page's totals, joined by the page its key begins with."""
+    rows = fixtures.segments(spark, sf_dir)
+    totals = rows.groupBy("file", "page").agg(F.count("*").alias("n_segments"), F.max("ink_ratio").alias("max_ink"))
+    keyed = rows.select("file", segments.segment_key(F.col("page"), F.col("seg")).alias("page_key"))
+    return segments.attach_pages(keyed, totals)
+
+
+@_query
+def first_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.first_page(fixtures.segments(spark, sf_dir).select("file", "page", "seg", "doc_id"), "seg")
+
+
 @_query
 def config_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword_dim(spark, CONFIG).groupBy("category", "key", "lang").agg(F.count("*").alias("n"), F.sum("n_words").alias("n_words"))

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from quire.plans import scan
 from quire.sinks.reports import report_path, summary_line
@@ -117,3 +118,35 @@ def test_stream(spark, tmp_path):
         write_verdicts(judge_stream(read_pages(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(60)
     got = {r.page: (r.status, r.language, r.reason) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: ("Valid", "ita", "OK"), 2: ("Invalid", "ita", "Empty page")}
+
+
+class Raw:
+    def decode(self, content):
+        if content == b"torn":
+            raise ValueError("torn page")
+        return np.frombuffer(content, np.uint8).reshape(40, 40, 3)
+
+
+class TwoModes:
+    def text(self, image, mode, lang):
+        return "nome  cognome" if mode == "fast" else "nome cognome data di nascita" if image.shape[0] > 10 else "x"
+
+    def boxes(self, image, mode, lang):
+        return [("nome", "80"), (" ", "5"), ("x", "n/a")]
+
+
+def test_segments_of_pages(spark):
+    from quire.operators.segments import attach_pages, explode_segments, first_page, read_segments, segment_key
+
+    page = np.full((40, 40, 3), 255, np.uint8)
+    page[:5] = 0
+    boxes = [{"x": 0, "y": 0, "w": 20, "h": 20}, {"x": 0, "y": 30, "w": 20, "h": 8}]
+    df = spark.createDataFrame([("f", 1, page.tobytes(), boxes), ("f", 2, b"torn", boxes)], "file string, page int, content binary, boxes array<struct<x:int,y:int,w:int,h:int>>")
+    got = {(r.page, r.seg): r for r in read_segments(df, Raw(), TwoModes()).collect()}
+    assert got[1, 1].text == "nome cognome data di nascita" and got[1, 1].ocr_confidence == 40.0 and got[1, 1].ink_ratio == 0.25
+    assert got[1, 2].text == "nome cognome" and got[2, None].error == "ValueError: torn page"
+    flat = explode_segments(df.drop("content")).withColumn("page_key", segment_key(*[F.col(c) for c in ("page", "seg")])).drop("page")
+    joined = attach_pages(flat, df.select("file", "page", "content")).collect()
+    assert sorted((r.page_key, len(r.content)) for r in joined) == [("1-1", 4800), ("1-2", 4800), ("2-1", 4), ("2-2", 4)]
+    doubled = df.selectExpr("file", "page", "1 as n").union(df.selectExpr("file", "page", "0"))
+    assert [r.n for r in first_page(doubled, "n").collect()] == [0, 0]
