@@ -107,10 +107,18 @@ def sample(docs: DataFrame, spec: CnnSpec, id_col: str, text_col: str, label_col
     """At most ``docs_per_class`` excerpts of each label, chosen by a hash of the id."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"))
     rows = rows.where("text is not null and label is not null")
-    names = [r.label for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(spec.most_classes).collect()]
+    rows = rows.withColumn("h", F.xxhash64("id"))
+    found = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(spec.most_classes).collect()
+    chosen = F.lit(False)
+    for r in found:  # hashes that twice the wanted number of rows are expected below
+        share = min(1.0, 2 * (spec.docs_per_class + 20) / r["count"])
+        chosen = F.when(F.col("label") == r.label, F.col("h") <= min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))).otherwise(chosen)
     at = F.expr(f"cast(pmod(xxhash64(id, 1), greatest(length(text) - {spec.chars_per_doc}, 0) + 1) as int) + 1")
-    excerpts = rows.select("label", F.xxhash64("id").alias("h"), "id", F.substring("text", at, F.lit(spec.chars_per_doc)).alias("text"))
-    return {n: [r.text.encode() for r in excerpts.where(F.col("label") == n).orderBy("h", "id", "text").limit(spec.docs_per_class).collect()] for n in sorted(names)}
+    excerpts = rows.where(chosen).select("label", "h", "id", F.substring("text", at, F.lit(spec.chars_per_doc)).alias("text")).dropDuplicates(["label", "id"])
+    texts: dict[str, list] = {r.label: [] for r in sorted(found)}
+    for r in excerpts.collect():
+        texts[r.label].append((r.h, str(r.id), r.text.encode()))
+    return {n: [t for _, _, t in sorted(rows_)[: spec.docs_per_class]] for n, rows_ in texts.items()}
 
 
 def train(docs: DataFrame, spec: CnnSpec = CnnSpec(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> ByteCnn:
