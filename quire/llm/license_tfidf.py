@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.runtime import cut, ready
+from quire.llm.runtime import cut, ready, small
 
 # Licences and the notices that name them.
 TEMPLATES = (
@@ -95,7 +95,7 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     known = match_headers(lines.groupBy("line").agg(F.count("*").alias("n")), templates, least)
     known = cut(known.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "license", "score"))
     mine = lines.select("id", "path", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    mine = mine.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, ["h1", "h2"])
+    mine = mine.join(small(known, BROADCAST_ROWS), ["h1", "h2"])
     own = cut(mine.groupBy("id", "path").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("own")))
     name = F.element_at(F.split("path", "/", -1), -1)
     given = own.where(name.rlike(LICENSE_FILE)).groupBy(directory_of(F.col("path")).alias("license_dir")).agg(F.min("own").alias("above"))
@@ -103,7 +103,7 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     way = dirs.select("dir", F.posexplode(ancestors(F.col("dir"))).alias("steps", "license_dir")).join(given, "license_dir")
     near = cut(way.groupBy("dir").agg(F.min(F.struct("steps", "above", "license_dir")).alias("near")))
     facts = rows.select("id", "path").join(own.withColumnsRenamed({"id": "own_id", "path": "own_path"}), F.col("id").eqNullSafe(F.col("own_id")) & (F.col("path") == F.col("own_path")), "left")
-    facts = facts.withColumn("dir", directory_of(F.col("path"))).join(F.broadcast(near) if near.count() <= BROADCAST_ROWS else near, "dir", "left")
+    facts = facts.withColumn("dir", directory_of(F.col("path"))).join(small(near, BROADCAST_ROWS), "dir", "left")
     pick = F.coalesce("own", "near.above")
     origin = F.when(F.col("own").isNotNull(), "header").when(F.col("near").isNotNull(), "inherited").otherwise("none")
     shown = F.when(F.col("own").isNull(), F.col("near.license_dir"))

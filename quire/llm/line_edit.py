@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.runtime import cut, ready
+from quire.llm.runtime import cut, ready, small
 
 #: Candidate lines whose texts may be fetched by a broadcast of their places; more are fetched by a shuffle join.
 BROADCAST_ROWS = 100_000
@@ -82,11 +82,6 @@ def _places(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Data
     return rows.where((F.length("line") >= min_chars) & F.col("doc").isNotNull()).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line"), "size": F.length("line")})
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast if its checked size allows it, else left to a shuffle join."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def near_lines(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, max_edits: int) -> DataFrame:
     """Classes of equal lines (``first``: place of the first copy) that have an earlier line within reach.
 
@@ -98,7 +93,7 @@ def near_lines(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
     filed = classes.select("first", F.explode("keys").alias("k")).select("first", "k.key", "k.filed")
     shared = filed.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("filed").alias("any_filed")).where("n > 1 and any_filed")
     shared = cut(shared.select("key"))
-    tenants = cut(filed.join(_small(shared), "key", "left_semi").select("first").distinct())
+    tenants = cut(filed.join(small(shared, BROADCAST_ROWS), "key", "left_semi").select("first").distinct())
     wanted = tenants.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list("first").alias("places"))
     if tenants.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
@@ -106,7 +101,7 @@ def near_lines(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
     found = found.select(F.split("text", "\n", -1).alias("lines"), F.explode("places").alias("place")).select("place", F.expr("get(lines, place.line_no)").alias("line"))
     texts = found.where(F.xxhash64("line") == F.col("place.h1")).dropDuplicates(["place"]).withColumn("size", F.length("line"))
     parts = texts.select("place", "line", F.explode(segment_keys("line", "size", max_edits, with_rest=True)).alias("k")).select("place", "line", "k.*")
-    parts = parts.join(_small(shared), "key", "left_semi").withColumn("rest_size", F.length("rest"))
+    parts = parts.join(small(shared, BROADCAST_ROWS), "key", "left_semi").withColumn("rest_size", F.length("rest"))
     parts = parts.select("place", "line", "key", "filed", F.explode(segment_keys("rest", "rest_size", max_edits)).alias("k"))
     parts = parts.select("place", "line", F.xxhash64("key", "k.key").alias("key"), (F.col("filed") & F.col("k.filed")).alias("filed"))
     mine = parts.where("filed").select("key", F.col("place").alias("a"), F.col("line").alias("line_a"))

@@ -15,7 +15,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.runtime import cut, ready
+from quire.llm.runtime import cut, ready, small
 
 MARGINS = ("source", "lang", "topic")
 #: A margin's targets: the exponent that its shares of the corpus are flattened by.
@@ -118,8 +118,7 @@ def mix(docs: DataFrame, topic: Column | None = None, targets: Mapping = TARGETS
     cells = rows.select(*keys, "n_tokens").groupBy(*[f"_{m}" for m in MARGINS]).agg(F.sum("n_tokens").alias("tokens"))
     cells = cut(cells.select(*[F.col(f"_{m}").alias(m) for m in MARGINS], "tokens"))
     drawn = cut(calibrate(rake(cells, MARGINS, targets, rounds), budget).select(*[F.col(m).alias(f"_{m}") for m in MARGINS], "probability"))
-    if drawn.count() <= BROADCAST_CELLS:
-        drawn = F.broadcast(drawn)
+    drawn = small(drawn, BROADCAST_CELLS)
     out = rows.withColumns({f"_{m}": F.coalesce(F.col(m).cast("string"), F.lit("(none)")) for m in MARGINS}).join(drawn, [f"_{m}" for m in MARGINS])
     sampled = uniform(F.col(id_col)) < F.col("probability")
     return out.select(*[F.col(f"`{c}`") for c in rest], "topic", "n_tokens", "probability", sampled.alias("sampled"))

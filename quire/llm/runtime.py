@@ -15,11 +15,15 @@ def ready(spark: SparkSession) -> SparkSession:
     """Makes reliable checkpoints possible and keeps Arrow batches of texts small.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; a
-    folder of our own is used only where none is named, as in tests.
+    folder of our own is used only where none is named and the executors are this
+    very machine, as in tests.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        alone = context.master.startswith("local") and not context.master.startswith("local-cluster")
+        if not named and not alone:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-checkpoints-"))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > TEXT_BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
@@ -32,9 +36,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns alone, so that further columns can't clash with ours."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def small(df: DataFrame, most: int) -> DataFrame:
+    """Broadcast if it has no more than ``most`` rows, else left to a shuffle join; ``df`` should be cut first."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def bucket_of(key: Column, n: int) -> Column:

@@ -12,11 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.runtime import cut, ready
+from quire.llm.runtime import cut, ready, small
 
 #: host, path, verdict
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 DAMPING, ROUNDS = 0.85, 12
+#: Hosts are sent to every task up to this number, and joined by a shuffle beyond it.
+BROADCAST_HOSTS = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/"'?#\s>]+)"""
 
@@ -75,9 +77,9 @@ def judge(pages: DataFrame, rules: tuple = RULES, id_col: str = "page_id", url_c
     # what rules may fit a host, found once for each host by an equi-join on its domains
     hosts = rows.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"))
     near = hosts.select("host", F.explode(domains(F.col("host"))).alias("rule_host")).join(table, "rule_host")
-    near = near.groupBy("host").agg(F.collect_list(F.struct(F.length("rule").alias("size"), "rule", "rule_path", "rule_verdict")).alias("rules"))
+    near = cut(near.groupBy("host").agg(F.collect_list(F.struct(F.length("rule").alias("size"), "rule", "rule_path", "rule_verdict")).alias("rules")))
     fits = "array_max(filter(rules, r -> startswith(path, r.rule_path)))"
-    ruled = rows.select("page", "host", "path").join(near, "host", "left").withColumn("fit", F.expr(fits))
+    ruled = rows.select("page", "host", "path").join(small(near, BROADCAST_HOSTS), "host", "left").withColumn("fit", F.expr(fits))
     given = ruled.where("fit is not null").groupBy("host", F.col("fit.rule_verdict").alias("verdict")).agg(F.count("*").alias("n"))
     given = given.join(hosts, "host").select(F.when(F.col("verdict") == "allow", "trust").otherwise("distrust").alias("kind"), "host", (F.col("n") / F.col("pages")).alias("weight"))
     given = cut(given)
@@ -93,7 +95,7 @@ def judge(pages: DataFrame, rules: tuple = RULES, id_col: str = "page_id", url_c
     scores = rank(cut(_shares(edges, "trust").union(_shares(back, "distrust"))), seeds)
     scores = scores.groupBy("host").agg(*[F.round(F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)), 9).alias(k) for k in ("trust", "distrust")])
     facts = cut(hosts.select("host").join(near, "host", "left").join(scores, "host", "left").select("host", "rules", *[F.coalesce(k, F.lit(0.0)).alias(k) for k in ("trust", "distrust")]))
-    out = rows.select("page", "host", "path").join(facts, "host", "left").withColumn("fit", F.expr(fits))
+    out = rows.select("page", "host", "path").join(small(facts, BROADCAST_HOSTS), "host", "left").withColumn("fit", F.expr(fits))
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     verdict = F.coalesce("fit.rule_verdict", F.when(distrust > trust, "block").otherwise("allow"))
     return out.select(F.col("page").alias(id_col), "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
