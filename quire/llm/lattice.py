@@ -51,6 +51,7 @@ class PieceTable:
     unknown: int
     merges: bool
     longest: int
+    joined: set[str] = field(default_factory=set)  # two characters that stand together in some piece
     cache: dict = field(default_factory=dict)
 
     def __getstate__(self):
@@ -159,7 +160,7 @@ def load(path: str, merges: bool | None = None) -> PieceTable:
     byte_ids = [i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE]
     unknown = next(i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN)
     merging = model.trainer_spec.model_type == proto.TrainerSpec.BPE if merges is None else merges
-    return PieceTable([p.piece for p in model.pieces], scores, ids, byte_ids[0] if byte_ids else -1, unknown, merging, max(map(len, scores)))
+    return PieceTable([p.piece for p in model.pieces], scores, ids, byte_ids[0] if byte_ids else -1, unknown, merging, max(map(len, scores)), {p[i : i + 2] for p in scores for i in range(len(p) - 1)})
 
 
 def units_of(text: Column) -> Column:
@@ -250,19 +251,28 @@ def encode_text(text: str, table: PieceTable, known: dict[str, bytes]) -> bytes:
     """Ids of a whole text as 32-bit integers."""
     if not text:
         return b""
-    cache, out = table.cache, []
-    for unit in _UNIT.findall(SPACE + text.replace(" ", SPACE)):
-        ids = known.get(unit)
-        if ids is None:
-            ids = cache.get(unit)
-            if ids is None:
-                ids = table.encode_unit(unit)
-                if len(unit) <= LONGEST_UNIT:
-                    if len(cache) >= CACHED_UNITS:
-                        cache.clear()
-                    cache[unit] = ids
-        out.append(ids)
-    return b"".join(out)
+    units = _UNIT.findall(SPACE + text.replace(" ", SPACE))
+    out, at = list(map(known.get, units)), -1
+    try:
+        while True:
+            at = out.index(None, at + 1)
+            out[at] = _rare(units[at], table, known)
+    except ValueError:  # no unit is left without ids
+        return b"".join(out)
+
+
+def _rare(unit: str, table: PieceTable, known: dict[str, bytes]) -> bytes:
+    """Ids of a unit outside the dictionary."""
+    ids = table.cache.get(unit)
+    if ids is None:
+        # where no piece reaches over to the last character, often a comma, the rest may be known
+        head = known.get(unit[:-1]) if unit[-2:] not in table.joined else None
+        ids = head + table.encode_unit(unit[-1]) if head else table.encode_unit(unit)
+        if len(unit) <= LONGEST_UNIT:
+            if len(table.cache) >= CACHED_UNITS:
+                table.cache.clear()
+            table.cache[unit] = ids
+    return ids
 
 
 def encode(docs: DataFrame, table: PieceTable, text_col: str = "text", most: int = DICTIONARY) -> DataFrame:
