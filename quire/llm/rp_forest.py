@@ -32,6 +32,7 @@ class ForestSpec:
     sample: int = 20_000  # vectors, chosen by a hash, that fit the upper splits
     sample_leaf: int = 250  # sampled vectors in a leaf of the upper splits, at most
     leaf: int = 256  # vectors that are compared with each other without further splits
+    dense: int = 4_096  # the same for vectors that nearly point one way
     seed: int = 17
 
 
@@ -51,8 +52,17 @@ def _split(points: np.ndarray, overlap: float, rng: np.random.Generator) -> tupl
     return None
 
 
-def grow(sample: np.ndarray, spec: ForestSpec) -> list[list]:
-    """The upper splits of every tree: nodes (direction, band, left, right), leaves by number."""
+def _dense(points: np.ndarray, spec: ForestSpec, each: float = 1.0) -> bool:
+    """Whether the vectors, each standing for so many rows, nearly point one way, so that a split would part many links, yet are few enough to compare."""
+    return len(points) * each <= spec.dense and float(np.linalg.norm(points.mean(axis=0))) >= 0.9
+
+
+def grow(sample: np.ndarray, spec: ForestSpec, rows: int = 0) -> list[list]:
+    """The upper splits of every tree: nodes (direction, band, left, right), leaves by number.
+
+    ``rows`` is what the sample stands for.
+    """
+    each = max(1.0, rows / max(1, len(sample)))
     forest = []
     for t in range(spec.trees):
         rng, nodes = np.random.default_rng((spec.seed, t)), []
@@ -60,7 +70,7 @@ def grow(sample: np.ndarray, spec: ForestSpec) -> list[list]:
         def build(points: np.ndarray) -> int:
             at = len(nodes)
             nodes.append(None)
-            found = _split(points, spec.overlap, rng) if len(points) > spec.sample_leaf else None
+            found = _split(points, spec.overlap, rng) if len(points) > spec.sample_leaf and not _dense(points, spec, each) else None
             if found:
                 spots = points @ found[0]
                 nodes[at] = (*found, build(points[spots <= found[2]]), build(points[spots >= found[1]]))
@@ -92,7 +102,7 @@ def near_pairs(points: np.ndarray, least: float, spec: ForestSpec, rng: np.rando
     todo = [np.arange(len(points))]
     while todo:
         rows = todo.pop()
-        split = _split(points[rows], spec.overlap, rng) if len(rows) > spec.leaf else None
+        split = _split(points[rows], spec.overlap, rng) if len(rows) > spec.leaf and not _dense(points[rows], spec) else None
         if split:
             spots = points[rows] @ split[0]
             todo += [rows[spots <= split[2]], rows[spots >= split[1]]]
@@ -133,12 +143,12 @@ def link_embeddings(vectors: DataFrame, least: float = 0.93, spec: ForestSpec =
     mark = rows.withColumns({"h1": F.xxhash64("label", "v"), "h2": F.xxhash64(F.lit(1), "label", "v")})
     classes = mark.where("v is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = cut(classes.select("h1", "h2", "rep", "copies", F.xxhash64("label").alias("side"), F.size("v").alias("dim"), "v"))
-    sizes = [r.dim for r in classes.select("dim").distinct().collect()]
+    sizes = [(r.dim, r["count"]) for r in classes.groupBy("dim").count().collect()]
     pairs = None
-    for dim in sizes:
+    for dim, n in sizes:
         some = classes.where(F.col("dim") == dim)
         picked = some.orderBy(F.xxhash64("rep"), "rep").limit(spec.sample).select("v").toArrow().column(0).to_pylist()
-        found = _meet(some.select("rep", "side", "v"), grow(_unit(picked), spec), least, spec)
+        found = _meet(some.select("rep", "side", "v"), grow(_unit(picked), spec, n), least, spec)
         pairs = found if pairs is None else pairs.union(found)
     if pairs is None:
         pairs = spark.createDataFrame([], "a long, b long")
