@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,7 @@ from quire.llm.runtime import cut, ready
 SPACE = "▁"
 UNIT = rf"{SPACE}+[^{SPACE}\n\t]*|[^{SPACE}\n\t]+|[\n\t]"
 _UNIT = re.compile(UNIT)
+_HEAD = "\x01"  # marks the head of a line while words are counted
 LONGEST_UNIT = 60  # of the dictionary; its symbols' borders are bits of one long
 DICTIONARY = 1 << 18  # most units of the dictionary
 CACHED_UNITS = 60_000  # most units of the tail that a worker remembers
@@ -163,18 +164,27 @@ def load(path: str, merges: bool | None = None) -> PieceTable:
     return PieceTable([p.piece for p in model.pieces], scores, ids, byte_ids[0] if byte_ids else -1, unknown, merging, max(map(len, scores)), {p[i : i + 2] for p in scores for i in range(len(p) - 1)})
 
 
-def units_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.concat(F.lit(SPACE), F.translate(text, " ", SPACE)), F.lit(UNIT), F.lit(0))
+def unit_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """``unit`` and ``n``: how often each word stands in all texts, behind its space or at the head of a line.
+
+    A word after several spaces counts as one after a single space; that only
+    bears on what is worth a place in the dictionary.
+    """
+    text = F.col(text_col)
+    for end in "\n\t":
+        text = F.replace(text, F.lit(end), F.lit(f" {_HEAD}"))
+    words = docs.where(F.length(text_col) > 0).select(F.explode(F.split(text, " ", -1)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    unit = F.when(F.startswith("w", F.lit(_HEAD)), F.expr("substring(w, 2)")).otherwise(F.concat(F.lit(SPACE), F.col("w")))
+    return words.select(unit.alias("unit"), "n").where("unit <> ''")
 
 
 def frequent_units(docs: DataFrame, text_col: str, most: int = DICTIONARY) -> DataFrame:
     """Units of ``docs`` from the lowest frequency on at which there are no more than ``most``.
 
-    All units of all texts are counted; frequencies are told apart by quarters of
+    All words of all texts are counted; frequencies are told apart by quarters of
     a power of two, so a handful of numbers comes to the driver.
     """
-    words = docs.where(F.length(text_col) > 0).select(F.explode(units_of(F.col(text_col))).alias("unit"))
-    counts = words.groupBy("unit").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.length("unit") <= LONGEST_UNIT))
+    counts = unit_counts(docs, text_col).where((F.col("n") > 1) & (F.length("unit") <= LONGEST_UNIT)).groupBy("unit").agg(F.sum("n").alias("n"))
     counts = cut(counts.select("unit", F.floor(4 * F.log2("n")).alias("level")))
     held, least = 0, None
     for row in counts.groupBy("level").agg(F.count("*").alias("units")).orderBy(F.desc("level")).collect():

@@ -58,8 +58,7 @@ def op6_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     table = lattice.load(PIECES)
     rows = lattice.decode(lattice.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), table), table)
-    digest = F.md5(F.concat_ws(",", "piece_ids").cast("binary"))
-    return rows.select("doc_id", "n_pieces", digest.alias("ids_md5"), F.col("decoded").eqNullSafe(F.translate("text", lattice.SPACE, " ")).alias("round_trip"))
+    return rows.select("doc_id", "n_pieces", F.xxhash64("piece_ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.translate("text", lattice.SPACE, " ")).alias("round_trip"))
 
 
 def op7_ball_tree_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
