@@ -1,6 +1,8 @@
+import duckdb
 import numpy as np
 
 from quire.llm.ball_tree import BallTree, SearchSpec, top_products
+from quire.llm.queries import op7_ball_tree_top_products, oracle_sql
 
 
 def plain(rows, k, every):
@@ -43,3 +45,11 @@ def test_odd_rows(spark):
     got = [tuple(r) for r in top_products(df).orderBy("query_id", "rank").collect()]
     assert got == plain([r for r in rows if r[0] != 6], 10, 100)
     assert top_products(df.limit(0)).count() == 0
+
+
+def test_sql(spark, data):
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{data}/embeddings.parquet'")
+    want = con.sql("select query_id, rank, vec_id, score from (" + oracle_sql()["op7_ball_tree_top_products"] + ") order by query_id, rank").fetchall()
+    got = op7_ball_tree_top_products(spark, data).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in got] == want
