@@ -28,9 +28,15 @@ APPENDED = {
 REPLACED = {8: "", 9: "12 34 ## 56"}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Over all cores, if the files give fewer tasks than there are: a small file of one row group is one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id``, ``text``, ``source`` and page keys of every document but each fiftieth."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 50 <> 0")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source").where("doc_id % 50 <> 0"))
     bucket = F.col("doc_id") % 16
     text = F.col("text")
     for n, snippet in APPENDED.items():

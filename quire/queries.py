@@ -29,7 +29,7 @@ def _r(c: str | Column, name: str | None = None) -> Column:
 
 
 def _language_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({"ocr_conf": F.expr("cast(doc_id * 7 % 1001 as double) / 10"), "ink_ratio": F.expr("cast(doc_id * 37 % 1000 as double) / 1000")})
+    docs = fixtures.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).withColumns({"ocr_conf": F.expr("cast(doc_id * 7 % 1001 as double) / 10"), "ink_ratio": F.expr("cast(doc_id * 37 % 1000 as double) / 1000")})
     judged = verdicts.readability(docs.withColumn("language", text.detect_language(F.col("text"))))
     return judged.groupBy("language", "readable").agg(F.count("*").alias("n_pages"), _r(F.avg("ocr_conf"), "avg_confidence"))
 
