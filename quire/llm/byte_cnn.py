@@ -34,8 +34,8 @@ class CnnSpec:
     filters: int = 16  # of each width
     docs_per_class: int = 500  # most labelled rows that are taken for a class
     chars_per_doc: int = 2_000  # most characters taken of such a row, from a place that its id decides
-    most_classes: int = 64
-    steps: int = 500
+    rows: int = 32_000  # most labelled rows in all; many classes share them out evenly, and more classes than rows are an error
+    steps: int = 500  # for up to 64 classes, in proportion more for more
     batch: int = 64
     rate: float = 0.01
     seed: int = 11
@@ -104,21 +104,26 @@ def windows_of(raw: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample(docs: DataFrame, spec: CnnSpec, id_col: str, text_col: str, label_col: str) -> dict[str, list[bytes]]:
-    """At most ``docs_per_class`` excerpts of each label, chosen by a hash of the id."""
+    """At most ``docs_per_class`` excerpts of every label, chosen by a hash of the id; fewer where the labels are so many that ``rows`` would be exceeded."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"))
     rows = rows.where("text is not null and label is not null")
     rows = rows.withColumn("h", F.xxhash64("id"))
-    found = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(spec.most_classes).collect()
-    chosen = F.lit(False)
+    found = rows.groupBy("label").count().limit(spec.rows + 1).collect()
+    if len(found) > spec.rows:
+        raise ValueError(f"more than {spec.rows} labels: none is dropped, so raise CnnSpec.rows or clean the labels")
+    each = min(spec.docs_per_class, spec.rows // max(1, len(found)))
+    limits = []
     for r in found:  # hashes that twice the wanted number of rows are expected below
-        share = min(1.0, 2 * (spec.docs_per_class + 20) / r["count"])
-        chosen = F.when(F.col("label") == r.label, F.col("h") <= min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))).otherwise(chosen)
+        share = min(1.0, 2 * (each + 20) / r["count"])
+        limits.append((r.label, min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(limits, "label string, most long"))  # as many rows as labels
+    rows = rows.join(chosen, "label").where("h <= most")
     at = F.expr(f"cast(pmod(xxhash64(id, 1), greatest(length(text) - {spec.chars_per_doc}, 0) + 1) as int) + 1")
-    excerpts = rows.where(chosen).select("label", "h", "id", F.substring("text", at, F.lit(spec.chars_per_doc)).alias("text")).dropDuplicates(["label", "id"])
+    excerpts = rows.select("label", "h", "id", F.substring("text", at, F.lit(spec.chars_per_doc)).alias("text")).dropDuplicates(["label", "id"])
     texts: dict[str, list] = {r.label: [] for r in sorted(found)}
     for r in excerpts.collect():
         texts[r.label].append((r.h, str(r.id), r.text.encode()))
-    return {n: [t for _, _, t in sorted(rows_)[: spec.docs_per_class]] for n, rows_ in texts.items()}
+    return {n: [t for _, _, t in sorted(rows_)[:each]] for n, rows_ in texts.items()}
 
 
 def train(docs: DataFrame, spec: CnnSpec = CnnSpec(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> ByteCnn:
@@ -146,7 +151,7 @@ def fit(texts: dict[str, list[bytes]], spec: CnnSpec = CnnSpec()) -> ByteCnn:
     }
     w["embed"][0] = 0
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
-    for step in range(1, spec.steps + 1):
+    for step in range(1, spec.steps * max(64, len(texts)) // 64 + 1):
         labels = rng.integers(0, len(texts), spec.batch)
         windows = np.zeros((spec.batch, spec.window), np.uint8)
         for row, k in enumerate(labels):

@@ -1,6 +1,7 @@
 import numpy as np
+import pytest
 
-from quire.llm.byte_cnn import ByteCnn, CnnSpec, _gradients, fit, predict, train, windows_of
+from quire.llm.byte_cnn import ByteCnn, CnnSpec, _gradients, fit, predict, sample, train, windows_of
 from quire.llm.queries import op5_byte_cnn_language
 
 
@@ -51,3 +52,14 @@ def test_odd_rows_and_clashing_columns(spark):
     empty = predict(docs.limit(0), train(docs.limit(0)))
     assert empty.count() == 0
     assert {r.lang_pred for r in predict(docs, ByteCnn(CnnSpec(), [])).collect()} == {"und"}
+
+
+def test_every_label_is_learned_and_too_many_are_an_error(spark):
+    rows = [(100 * k + i, f"{chr(0x4E00 + k) * 3} " * 30, f"l{k:02}") for k in range(70) for i in range(3 if k < 68 else 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(docs, CnnSpec(steps=5))
+    assert model.classes == [f"l{k:02}" for k in range(70)]
+    few = sample(docs, CnnSpec(rows=140), "doc_id", "text", "lang")
+    assert len(few) == 70 and all(len(t) == 2 for t in few.values())
+    with pytest.raises(ValueError, match="more than 69 labels"):
+        sample(docs, CnnSpec(rows=69), "doc_id", "text", "lang")
