@@ -6,9 +6,10 @@ as one.  A distinct line is cut into ``max_edits + 1`` segments; two lines withi
 and after it can account for.  So each line files its segments under (length,
 segment number, text) and probes, for its own and each smaller length in reach,
 the few substrings that could be such a segment.  Where lines meet, what is left
-of them is cut and probed in the same way.  Candidates are verified by a banded
-edit distance that keeps, for each number of edits, the diagonals reached
-as bits of one long.
+of them is cut and probed in the same way, and again for as long as many meet, so
+that lines of one template part at the place where they differ.  Candidates are
+verified by a banded edit distance that keeps, for each number of edits, the
+diagonals reached as bits of one long.
 """
 
 from __future__ import annotations
@@ -16,17 +17,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.runtime import cut, ready, small
+from quire.llm.runtime import cut, ready, small, unused
 
 #: Candidate lines whose texts may be fetched by a broadcast of their places; more are fetched by a shuffle join.
 BROADCAST_ROWS = 100_000
+#: Lines under one key whose pairs are listed; what is left of more is cut again.
+FEW = 16
 
 
 def segment_keys(line: str, length: str, max_edits: int, with_rest: bool = False) -> Column:
     """Array of (``key``, ``filed``): the keys under which a line is filed or looks for others.
 
     ``line`` and ``length`` name the columns of the text and its length in
-    characters.  ``with_rest`` adds what is left of the line without the segment.
+    characters.  ``with_rest`` adds what is left of the line without the segment,
+    and by how much the lines looked for are ``shorter``.
     """
     parts, out = max_edits + 1, []
     for shorter in range(max_edits + 1):
@@ -39,7 +43,7 @@ def segment_keys(line: str, length: str, max_edits: int, with_rest: bool = False
             for off in range(first, last + 1):
                 filed = shorter == 0 and off == 0
                 key = f"xxhash64({size}, {i}, substring({line}, {at} + {off}, {span}))"
-                rest = f", 'rest', concat(substring({line}, 1, {at} + {off} - 1), substring({line}, {at} + {off} + {span}))" if with_rest else ""
+                rest = f", 'shorter', {shorter}, 'rest', concat(substring({line}, 1, {at} + {off} - 1), substring({line}, {at} + {off} + {span}))" if with_rest else ""
                 out.append(F.expr(f"named_struct('key', {key}, 'filed', {str(filed).lower()}{rest})"))
     return F.array(*out)
 
@@ -78,17 +82,18 @@ def within_edits(a: str, b: str, max_edits: int) -> Column:
 
 
 def _places(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("line_no", "line"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.posexplode(F.split(F.col(f"`{text_col}`").cast("string"), "\n", -1)).alias("line_no", "line"))
     return rows.where((F.length("line") >= min_chars) & F.col("doc").isNotNull()).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line"), "size": F.length("line")})
 
 
-def near_lines(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, max_edits: int) -> DataFrame:
+def near_lines(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, max_edits: int, few: int = FEW) -> DataFrame:
     """Classes of equal lines (``first``: place of the first copy) that have an earlier line within reach.
 
-    Keys with a single tenant go first.  The texts of the other keys' tenants are
-    fetched, and what is left of a tenant without the shared segment, which must
-    again be within ``max_edits`` of the other's, is cut into segments once more:
-    lines are paired only if they agree in both.
+    Keys with a single tenant go first, and the texts of the other keys' tenants
+    are fetched.  What is left of two lines without the segment they share must
+    again be within ``max_edits``, so it is cut into segments in turn: lines are
+    paired only if they agree in both.  Where more than ``few`` still agree, as
+    lines of one template do, the cutting goes on; the rest shrinks each time.
     """
     filed = classes.select("first", F.explode("keys").alias("k")).select("first", "k.key", "k.filed")
     shared = filed.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("filed").alias("any_filed")).where("n > 1 and any_filed")
@@ -97,19 +102,54 @@ def near_lines(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
     wanted = tenants.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list("first").alias("places"))
     if tenants.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    found = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).join(wanted, "doc")
+    found = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).join(wanted, "doc")
     found = found.select(F.split("text", "\n", -1).alias("lines"), F.explode("places").alias("place")).select("place", F.expr("get(lines, place.line_no)").alias("line"))
     texts = found.where(F.xxhash64("line") == F.col("place.h1")).dropDuplicates(["place"]).withColumn("size", F.length("line"))
-    parts = texts.select("place", "line", F.explode(segment_keys("line", "size", max_edits, with_rest=True)).alias("k")).select("place", "line", "k.*")
-    parts = parts.join(small(shared, BROADCAST_ROWS), "key", "left_semi").withColumn("rest_size", F.length("rest"))
-    parts = parts.select("place", "line", "key", "filed", F.explode(segment_keys("rest", "rest_size", max_edits)).alias("k"))
-    parts = parts.select("place", "line", F.xxhash64("key", "k.key").alias("key"), (F.col("filed") & F.col("k.filed")).alias("filed"))
-    mine = parts.where("filed").select("key", F.col("place").alias("a"), F.col("line").alias("line_a"))
-    pairs = mine.join(parts.select("key", "filed", F.col("place").alias("b"), F.col("line").alias("line_b")), "key").where("a < b or (a > b and not filed)")
-    return pairs.where(within_edits("line_a", "line_b", max_edits)).select(F.greatest("a", "b").alias("first")).distinct()
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = 20) -> DataFrame:
+    rows = texts.select("place", "line", F.explode(segment_keys("line", "size", max_edits, with_rest=True)).alias("k")).select("place", "line", "k.*")
+    rows = rows.join(small(shared, BROADCAST_ROWS), "key", "left_semi")
+    hits = None
+    while True:
+        rows = cut(_cut_again(rows, max_edits))
+        groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("left").alias("widest"), F.max(F.when(F.col("filed"), F.col("left"))).alias("filed_left"))
+        groups = cut(groups.where("n > 1 and filed_left is not null"))
+        alike = F.col("widest") <= max_edits  # any two such rests are within reach
+        listed = ~alike & ((F.col("n") <= few) | (F.col("filed_left") <= max_edits))  # so short, filed rests are few: each has its own text
+        found = _listed(_under(rows, groups.where(listed)), max_edits).union(_alike(_under(rows, groups.where(alike)), max_edits))
+        hits = found if hits is None else hits.union(found)
+        crowded = groups.where(~alike & ~listed)
+        if not crowded.head(1):
+            return hits.distinct()
+        rows = _under(rows, crowded)
+
+
+def _under(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    return rows.join(small(groups.select("key"), BROADCAST_ROWS), "key", "left_semi")
+
+
+def _cut_again(rows: DataFrame, max_edits: int) -> DataFrame:
+    """Rows for the segments of what is left of each row's line; a row goes on looking for lines as much shorter as before."""
+    parts = rows.withColumn("rest_size", F.length("rest"))
+    parts = parts.select("place", "line", "key", "filed", "shorter", F.explode(segment_keys("rest", "rest_size", max_edits, with_rest=True)).alias("k"))
+    return parts.where("k.shorter = shorter").select("place", "line", F.xxhash64("key", "k.key").alias("key"), (F.col("filed") & F.col("k.filed")).alias("filed"), "shorter", F.col("k.rest").alias("rest"), F.length("k.rest").alias("left"))
+
+
+def _listed(rows: DataFrame, max_edits: int) -> DataFrame:
+    """The later place of each pair within reach, of all pairs of a filed line and another one under a key."""
+    mine = rows.where("filed").select("key", F.col("place").alias("a"), F.col("line").alias("line_a"))
+    pairs = mine.join(rows.select("key", "filed", F.col("place").alias("b"), F.col("line").alias("line_b")), "key").where("a < b or (a > b and not filed)")
+    return pairs.where(within_edits("line_a", "line_b", max_edits)).select(F.greatest("a", "b").alias("first"))
+
+
+def _alike(rows: DataFrame, max_edits: int) -> DataFrame:
+    """The places behind the first one, under keys where every filed line is within reach of every other one."""
+    head = F.min(F.struct("place", "line"))
+    heads = rows.groupBy("key").agg(head.alias("first_any"), F.min(F.when(F.col("filed"), F.struct("place", "line"))).alias("first_filed"))
+    before = rows.join(heads, "key").withColumn("head", F.when(F.col("filed"), F.col("first_any")).otherwise(F.col("first_filed")))
+    before = before.where("head.place < place").select("place", "line", F.col("head.line").alias("head_line"))
+    return before.where(within_edits("line", "head_line", max_edits)).select(F.col("place").alias("first"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = 20, few: int = FEW) -> DataFrame:
     """Takes repeated and nearly repeated lines out of texts.
 
     Lines come in the order of the document's id, then of their place in it.  A
@@ -117,7 +157,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     within ``max_edits`` edits whose own first copy comes earlier, precedes it;
     shorter lines and the order of the rest stay.  Returns the rows of ``docs``
     with the text changed, and ``n_lines`` and ``n_dropped`` (columns of these
-    names are replaced).
+    names are replaced, all others stay as they are).
 
     Null texts stay null with zero lines; empty texts have one empty line and
     stay; rows with a null id are left alone.  Rows with the same id count as one
@@ -133,19 +173,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.struct("doc", "line_no", "h1")
     classes = lines.select("h1", "h2", place.alias("place"), segment_keys("line", "size", max_edits).alias("keys"))
     classes = cut(classes.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.first("keys").alias("keys"), F.count("*").alias("copies")))
-    near = near_lines(docs, classes.select("first", "keys"), id_col, text_col, max_edits).withColumn("near", F.lit(True))
+    near = near_lines(docs, classes.select("first", "keys"), id_col, text_col, max_edits, few).withColumn("near", F.lit(True))
     hit = classes.drop("keys").join(near, "first", "left").where("copies > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     hit = cut(hit)
     gone = lines.select("h1", "h2", place.alias("place")).join(hit, ["h1", "h2"]).where("near or (place.doc, place.line_no) <> (first.doc, first.line_no)")
-    gone = gone.groupBy(F.col("place.doc").alias("_gone_doc")).agg(F.collect_set(F.struct("place.line_no", "place.h1")).alias("_gone"))
-    out = docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone_doc"), "left")
+    key, lost, held, left = unused(rest, "key", "lost", "held", "left")
+    gone = gone.groupBy(F.col("place.doc").alias(key)).agg(F.collect_set(F.struct("place.line_no", "place.h1")).alias(lost))
     text = F.col(f"`{text_col}`").cast("string")
-    kept = F.expr("filter(_lines, (l, i) -> not array_contains(_gone, struct(i as line_no, xxhash64(l) as h1)))")
-    out = out.withColumn("_lines", F.split(text, "\n", -1)).withColumn("_kept", F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(kept))
-    changed = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join("_kept", "\n"))
-    size = F.coalesce(F.size("_lines"), F.lit(0))
+    out = docs.join(gone, F.col(f"`{id_col}`") == F.col(key), "left").withColumn(held, F.split(text, "\n", -1))
+    # places are numbers, which array_except tells apart by hash; a twin's other text has other lines there
+    places = f"transform(filter({lost}, g -> xxhash64(get({held}, g.line_no)) = g.h1), g -> g.line_no)"
+    stay = F.expr(f"transform(array_except(sequence(0, size({held}) - 1), {places}), i -> {held}[i])")
+    out = out.withColumn(left, F.when(F.col(lost).isNull(), F.col(held)).otherwise(stay))
+    changed = F.when(F.col(lost).isNull(), text).otherwise(F.array_join(left, "\n"))
+    size = F.coalesce(F.size(held), F.lit(0))
     return out.select(
         *[(changed if c == text_col else F.col(f"`{c}`")).alias(c) for c in rest],
         F.when(text.isNull(), 0).otherwise(size).alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(size - F.size("_kept")).alias("n_dropped"),
+        F.when(F.col(lost).isNull() | text.isNull(), 0).otherwise(size - F.size(left)).alias("n_dropped"),
     )

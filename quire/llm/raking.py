@@ -15,7 +15,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.runtime import cut, ready, small
+from quire.llm.runtime import cut, ready, small, unused
 
 MARGINS = ("source", "lang", "topic")
 #: A margin's targets: the exponent that its shares of the corpus are flattened by.
@@ -100,25 +100,34 @@ def calibrate(state: DataFrame, budget: float = BUDGET, steps: int = BUDGET_STEP
     return state.withColumn("probability", F.round(F.least(F.lit(1.0), F.col("rate") * scale), 9))
 
 
+def _value(x: Column) -> Column:
+    """A margin's value as text that no value shares with null."""
+    return F.coalesce(F.concat(F.lit("="), x.cast("string")), F.lit(""))
+
+
 def mix(docs: DataFrame, topic: Column | None = None, targets: Mapping = TARGETS, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Adds ``topic``, ``n_tokens``, ``probability`` and ``sampled`` to every row.
 
     Null sources and languages are values of their own; null and empty texts
     have no tokens, and a cell without any tokens has the probability zero.  Rows
     with the same id share a draw; existing columns of the four names are
-    replaced.  Only the cells' sums are shuffled; a source with a third of all
-    rows is summed before that.
+    replaced, all others stay as they are.  Only the cells' sums are shuffled; a
+    source with a third of all rows is summed before that.  A target given as a
+    mapping leaves null values at nothing.  ``topic`` may be any column; without
+    one the form of the text stands in for it (``topic_of``).
     """
     ready(docs.sparkSession)
     added = ("topic", "n_tokens", "probability", "sampled")
     rest = [c for c in docs.columns if c not in added]
-    made = topic if topic is not None else topic_of(F.col(text_col))
-    rows = docs.withColumn("_topic", made).select(*[F.col(f"`{c}`") for c in rest], F.col("_topic").alias("topic"), token_count(F.col(text_col)).alias("n_tokens"))
-    keys = [F.coalesce(F.col(m).cast("string"), F.lit("(none)")).alias(f"_{m}") for m in MARGINS]
-    cells = rows.select(*keys, "n_tokens").groupBy(*[f"_{m}" for m in MARGINS]).agg(F.sum("n_tokens").alias("tokens"))
-    cells = cut(cells.select(*[F.col(f"_{m}").alias(m) for m in MARGINS], "tokens"))
-    drawn = cut(calibrate(rake(cells, MARGINS, targets, rounds), budget).select(*[F.col(m).alias(f"_{m}") for m in MARGINS], "probability"))
-    drawn = small(drawn, BROADCAST_CELLS)
-    out = rows.withColumns({f"_{m}": F.coalesce(F.col(m).cast("string"), F.lit("(none)")) for m in MARGINS}).join(drawn, [f"_{m}" for m in MARGINS])
-    sampled = uniform(F.col(id_col)) < F.col("probability")
+    keys = dict(zip(MARGINS, unused([*docs.columns, *added], *MARGINS), strict=True))
+    (made,) = unused([*docs.columns, *added, *keys.values()], "made")
+    rows = docs.withColumn(made, topic if topic is not None else topic_of(F.col(f"`{text_col}`")))
+    rows = rows.select(*[F.col(f"`{c}`") for c in rest], F.col(made).alias("topic"), token_count(F.col(f"`{text_col}`")).alias("n_tokens"))
+    rows = rows.withColumns({k: _value(F.col(m)) for m, k in keys.items()})
+    cells = rows.groupBy(*keys.values()).agg(F.sum("n_tokens").alias("tokens"))
+    cells = cut(cells.select(*[F.col(k).alias(m) for m, k in keys.items()], "tokens"))
+    wanted = {m: {f"={v}": share for v, share in t.items()} if isinstance(t, Mapping) else t for m, t in targets.items()}
+    drawn = cut(calibrate(rake(cells, MARGINS, wanted, rounds), budget).select(*[F.col(m).alias(k) for m, k in keys.items()], "probability"))
+    out = rows.join(small(drawn, BROADCAST_CELLS), list(keys.values()))
+    sampled = uniform(F.col(f"`{id_col}`")) < F.col("probability")
     return out.select(*[F.col(f"`{c}`") for c in rest], "topic", "n_tokens", "probability", sampled.alias("sampled"))

@@ -30,6 +30,14 @@ def test_odd_rows(spark):
     assert mix(docs.limit(0)).count() == 0
 
 
+def test_null_is_a_value_of_its_own_and_names_may_clash(spark):
+    rows = [(i, "a b c " * (i % 7 + 1), "en", [None, "(none)", "", "s"][i % 4]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 as _topic", "2 as _source", "3 as _lang", "4 as made")
+    out = mix(docs, topic=docs.source, targets={"source": {"(none)": 1.0}, "lang": 1.0, "topic": 1.0}, budget=0.1, rounds=3).collect()
+    assert all((r._topic, r._source, r._lang, r.made) == (1, 2, 3, 4) for r in out)
+    assert {r.source for r in out if r.probability > 0} == {"(none)"} and len(out) == 400
+
+
 def test_sql(spark):
     data = "/root/testdata/sf0.01"
     con = duckdb.connect()
