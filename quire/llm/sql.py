@@ -129,9 +129,10 @@ FROM marked GROUP BY doc_id
 """
 
 
-def _templates() -> str:
-    from quire.llm.license_tfidf import TEMPLATES
+from quire.llm.license_tfidf import CUE, TEMPLATES  # noqa: E402
+
 
+def _templates() -> str:
     return ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
 
 
@@ -139,9 +140,15 @@ OP10 = rf"""
 WITH templates(t, license, line) AS (VALUES {_templates()}),
 files AS (
   SELECT doc_id, text, concat_ws('/', source, doc_id // 1000, doc_id // 50, CASE WHEN doc_id % 50 = 0 THEN 'LICENSE' ELSE 'doc' || doc_id || '.txt' END) AS path FROM documents
+), parts AS (
+  SELECT doc_id, path, doc_id % 50 = 0 AS named, text,
+    list_filter(string_split_regex(regexp_replace(text, '[^A-Za-z0-9\n]*\n[^A-Za-z0-9\n]*', chr(10), 'g'), '\n\n+'), lambda u: doc_id % 50 = 0 OR regexp_matches(u, '{CUE}')) AS told FROM files
 ), lines AS (
-  SELECT DISTINCT doc_id, path, line FROM (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS line FROM files)
-  WHERE regexp_matches(line, '(?i)licen[sc]e|copyright|permission is hereby|redistribution|released under|all rights reserved')
+  SELECT DISTINCT doc_id, path, line FROM (
+    SELECT doc_id, path, text AS line FROM parts WHERE named
+    UNION ALL SELECT doc_id, path, unnest(told) FROM parts
+    UNION ALL SELECT doc_id, path, line FROM (SELECT doc_id, path, unnest(string_split(array_to_string(told, chr(10)), chr(10))) AS line FROM parts) WHERE regexp_matches(line, '{CUE}')
+  ) WHERE line IS NOT NULL
 ), words AS (
   SELECT 'l' || line AS k, list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda w: w <> '') AS ws, count(*) AS n FROM lines GROUP BY line
   UNION ALL SELECT 't' || t, list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda w: w <> ''), 1 FROM templates
