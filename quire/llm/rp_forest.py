@@ -32,7 +32,9 @@ class ForestSpec:
     sample: int = 20_000  # vectors, chosen by a hash, that fit the upper splits
     sample_leaf: int = 250  # sampled vectors in a leaf of the upper splits, at most
     leaf: int = 256  # vectors that are compared with each other without further splits
-    dense: int = 4_096  # the same for vectors that nearly point one way
+    dense: int = 4_096  # the same for vectors that nearly point one way; more are compared apart, in chunks of so many
+    group: float = 0.93  # least length of the mean of unit vectors in a large group of near copies
+    reach: float = 0.9  # least cosine of a group's vectors with its centre
     seed: int = 17
 
 
@@ -81,6 +83,42 @@ def grow(sample: np.ndarray, spec: ForestSpec, rows: int = 0) -> list[list]:
     return forest
 
 
+def dense_centres(forest: list[list], sample: np.ndarray, spec: ForestSpec, rows: int) -> np.ndarray:
+    """Centres of groups of near copies that stand for more than ``dense`` rows, no two within ``reach``."""
+    each, found = max(1.0, rows / max(1, len(sample))), []
+    for nodes in forest[:2]:
+        for _, at in route(nodes, sample):
+            todo = [at]
+            while todo:
+                at = todo.pop()
+                if len(at) * each <= spec.dense / 4 or len(at) < 4:
+                    continue
+                mean = sample[at].mean(axis=0)
+                if np.linalg.norm(mean) >= spec.group:
+                    found.append((len(at), mean / np.linalg.norm(mean)))
+                    continue
+                # a group may share its leaf with others: try the vectors around the one with the most near it
+                near = sample[at] @ sample[at].T >= spec.reach
+                some = near[near.sum(axis=1).argmax()]
+                mean = sample[at[some]].mean(axis=0)
+                if some.sum() * each > spec.dense / 4 and some.sum() >= 4 and np.linalg.norm(mean) >= spec.group:
+                    found.append((int(some.sum()), mean / np.linalg.norm(mean)))
+                    todo.append(at[~some])
+    kept: list[np.ndarray] = []
+    for _, centre in sorted(found, key=lambda x: -x[0]):
+        if (not kept or (np.array(kept) @ centre).max() < spec.reach) and (sample @ centre >= spec.reach).sum() * each > spec.dense:
+            kept.append(centre)
+    return np.array(kept).reshape(len(kept), sample.shape[1] if sample.ndim == 2 else 0)
+
+
+def groups_of(points: np.ndarray, centres: np.ndarray, reach: float) -> np.ndarray:
+    """The place of the nearest centre within reach, or -1."""
+    if not len(centres) or not len(points):
+        return np.full(len(points), -1)
+    near = points @ centres.T
+    return np.where(near.max(axis=1) >= reach, near.argmax(axis=1), -1)
+
+
 def route(nodes: list, points: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each leaf of a tree that some points reach, and the places of those points."""
     todo = [(0, np.arange(len(points)))]
@@ -96,8 +134,8 @@ def route(nodes: list, points: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         todo += [(left, rows[spots <= high]), (right, rows[spots >= low])]
 
 
-def near_pairs(points: np.ndarray, least: float, spec: ForestSpec, rng: np.random.Generator, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i < j) of pairs of unit vectors with a product of ``least`` or more that meet in a leaf."""
+def near_pairs(points: np.ndarray, least: float, spec: ForestSpec, rng: np.random.Generator, block: int = 1024, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i < j) of pairs of unit vectors with a product of ``least`` or more that meet in a leaf, but of those in one ``group`` (-1: in none)."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
     todo = [np.arange(len(points))]
     while todo:
@@ -111,7 +149,8 @@ def near_pairs(points: np.ndarray, least: float, spec: ForestSpec, rng: np.rando
             for b in range(a, len(rows), block):
                 i, j = np.nonzero(points[rows[a : a + block]] @ points[rows[b : b + block]].T >= least)
                 i, j = rows[a + i], rows[b + j]
-                found.append((i[i < j], j[i < j]))
+                good = i < j if group is None else (i < j) & ((group[i] < 0) | (group[i] != group[j]))
+                found.append((i[good], j[good]))
     pairs = np.unique(np.concatenate([np.stack(f, axis=1) for f in found] or [np.zeros((0, 2), np.int64)]), axis=0)
     return pairs[:, 0], pairs[:, 1]
 
@@ -144,19 +183,21 @@ def link_embeddings(vectors: DataFrame, least: float = 0.93, spec: ForestSpec =
     classes = mark.where("v is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = cut(classes.select("h1", "h2", "rep", "copies", F.xxhash64("label").alias("side"), F.size("v").alias("dim"), "v"))
     sizes = [(r.dim, r["count"]) for r in classes.groupBy("dim").count().collect()]
-    pairs = None
+    pairs, crowds = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "a long, b long, n long")
     for dim, n in sizes:
         some = classes.where(F.col("dim") == dim)
-        picked = some.orderBy(F.xxhash64("rep"), "rep").limit(spec.sample).select("v").toArrow().column(0).to_pylist()
-        found = _meet(some.select("rep", "side", "v"), grow(_unit(picked), spec, n), least, spec)
-        pairs = found if pairs is None else pairs.union(found)
-    if pairs is None:
-        pairs = spark.createDataFrame([], "a long, b long")
-    pairs = cut(pairs.distinct())
-    named = connected_components(pairs)
+        picked = _unit(some.orderBy(F.xxhash64("rep"), "rep").limit(spec.sample).select("v").toArrow().column(0).to_pylist())
+        forest = grow(picked, spec, n)
+        centres = dense_centres(forest, picked, spec, n)
+        pairs = pairs.union(_meet(some.select("rep", "side", "v"), forest, centres, least, spec))
+        if len(centres):
+            crowds = crowds.union(_crowds(some.select("rep", "side", "copies", "v"), centres, least, spec))
+    pairs, crowds = cut(pairs.distinct()), cut(crowds)
+    named = connected_components(pairs.union(crowds.where("b is not null").select("a", "b")))
     ends = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(pairs.select("b", "a"))
     weights = classes.select(F.col("rep").alias("other"), "copies")
-    more = ends.join(weights, "other").groupBy("rep").agg(F.sum("copies").alias("linked"))
+    more = ends.join(weights, "other").groupBy("rep").agg(F.sum("copies").alias("n")).union(crowds.where("b is null").select("a", "n"))
+    more = more.groupBy("rep").agg(F.sum("n").alias("linked"))
     facts = classes.select("h1", "h2", "rep", "copies").join(more, "rep", "left").join(named, F.col("rep") == F.col("node"), "left")
     facts = cut(facts.select("h1", "h2", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
     # rows outside the search have no class; a key of their own spares them from meeting in one task
@@ -167,27 +208,77 @@ def link_embeddings(vectors: DataFrame, least: float = 0.93, spec: ForestSpec =
     return out.select(F.col("id").alias(id_col), F.when(ours, F.col("n_links")).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 
 
-def _meet(classes: DataFrame, forest: list, least: float, spec: ForestSpec) -> DataFrame:
-    """Pairs of classes that share a leaf of some tree and are near enough."""
-    shared = classes.sparkSession.sparkContext.broadcast(forest)  # bounded by the sample
+def _meet(classes: DataFrame, forest: list, centres: np.ndarray, least: float, spec: ForestSpec) -> DataFrame:
+    """Pairs of classes that share a leaf of some tree, are near enough, and are not both of one large group."""
+    shared = classes.sparkSession.sparkContext.broadcast((forest, centres))  # bounded by the sample
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees, middle = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             unit = _unit(batch.column(2).to_pylist())
             flat = pa.FixedSizeListArray.from_arrays(pa.array(unit.ravel()), unit.shape[1]).cast(pa.list_(pa.float64()))
-            for t, nodes in enumerate(shared.value):
+            group = pa.array(groups_of(unit, middle, spec.reach), pa.int32())
+            for t, nodes in enumerate(trees):
                 for leaf, rows in route(nodes, unit):
                     take = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([batch.column(1).take(take), pa.array([t * 1_000_000 + leaf] * len(rows), pa.int64()), batch.column(0).take(take), flat.take(take)], ["side", "leaf", "rep", "v"])
+                    yield pa.RecordBatch.from_arrays([batch.column(1).take(take), pa.array([t * 1_000_000 + leaf] * len(rows), pa.int64()), batch.column(0).take(take), group.take(take), flat.take(take)], ["side", "leaf", "rep", "crowd", "v"])
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        unit, ids = np.array(pdf["v"].tolist(), np.float64), pdf["rep"].to_numpy()
+        unit, ids, group = np.stack(pdf["v"].to_list()), pdf["rep"].to_numpy(), pdf["crowd"].to_numpy()
         order = np.argsort(ids, kind="stable")
-        unit, ids = unit[order], ids[order]
-        i, j = near_pairs(unit, least, spec, np.random.default_rng((spec.seed, abs(int(key[1])))))
+        unit, ids, group = unit[order], ids[order], group[order]
+        i, j = near_pairs(unit, least, spec, np.random.default_rng((spec.seed, abs(int(key[1])))), group=group)
         return pd.DataFrame({"a": ids[i], "b": ids[j]})
 
-    leaves = classes.mapInArrow(spread, "side long, leaf long, rep long, v array<double>")
+    leaves = classes.mapInArrow(spread, "side long, leaf long, rep long, crowd int, v array<double>")
     return leaves.groupBy("side", "leaf").applyInPandas(compare, "a long, b long")
+
+
+def spanning(near: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (row, column) with the same components as all pairs that ``near`` marks, rows and columns being different things."""
+    rows, columns, out = np.ones(near.shape[0], bool), np.ones(near.shape[1], bool), []
+    for start in range(near.shape[0]):
+        if not rows[start]:
+            continue
+        rows[start], todo = False, [(True, start)]
+        while todo:
+            of_rows, x = todo.pop()
+            fresh = np.nonzero(near[x] & columns if of_rows else near[:, x] & rows)[0]
+            (columns if of_rows else rows)[fresh] = False
+            out += [(x, int(y)) if of_rows else (int(y), x) for y in fresh]
+            todo += [(not of_rows, int(y)) for y in fresh]
+    return out
+
+
+def _crowds(classes: DataFrame, centres: np.ndarray, least: float, spec: ForestSpec) -> DataFrame:
+    """Of the vectors in large groups: ``a``, null and ``n``, the rows that its links reach there; and links ``a``, ``b`` that connect them."""
+    shared = classes.sparkSession.sparkContext.broadcast(centres)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit = _unit(batch.column(3).to_pylist()) if batch.num_rows else np.zeros((0, 1))
+            group = groups_of(unit, shared.value, spec.reach)
+            inside = pa.array(np.nonzero(group >= 0)[0])
+            flat = pa.array(list(unit[group >= 0]), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(inside) for i in range(3)], pa.array(group[group >= 0], pa.int32()), flat], ["rep", "side", "copies", "crowd", "v"])
+
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        unit, ids, copies, own = np.stack(pdf["v"].to_list()), pdf["rep"].to_numpy(), pdf["copies"].to_numpy(np.int64), pdf["own"].to_numpy()
+        left, right = np.nonzero(own == key[2])[0], np.nonzero(own == key[3])[0]
+        near = unit[left] @ unit[right].T >= least
+        out = []
+        if key[2] == key[3]:
+            np.fill_diagonal(near, False)
+        else:
+            out += [(int(b), None, int(n)) for b, n in zip(ids[right], copies[left] @ near, strict=True) if n]
+        out += [(int(a), None, int(n)) for a, n in zip(ids[left], near @ copies[right], strict=True) if n]
+        out += [(int(ids[left[i]]), int(ids[right[j]]), 0) for i, j in spanning(near) if ids[left[i]] != ids[right[j]]]
+        return pd.DataFrame({"a": [x[0] for x in out], "b": pd.array([x[1] for x in out], "Int64"), "n": [x[2] for x in out]})
+
+    found = cut(classes.mapInArrow(place, "rep long, side long, copies long, crowd int, v array<double>"))
+    sizes = found.groupBy("side", "crowd").agg(F.ceil(F.count("*") / spec.dense).cast("int").alias("chunks"))
+    dealt = found.join(sizes, ["side", "crowd"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).withColumns({"one": F.least("own", "other"), "two": F.greatest("own", "other")})
+    return dealt.groupBy("side", "crowd", "one", "two").applyInPandas(compare, "a long, b long, n long")
