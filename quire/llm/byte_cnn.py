@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from quire.llm.runtime import ready
 
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_MAY_BE_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
@@ -67,7 +67,7 @@ class ByteCnn:
     def classify(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The likeliest class of each text and its probability, averaged over the text's windows."""
         names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        known = [i for i, t in enumerate(texts) if t and self.classes and _LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if t and self.classes and has_letter(t)]
         for group in _by_volume(known, texts):
             raw = [texts[i].encode("utf-8", "replace") for i in group]
             windows, counts = windows_of(raw, self.spec.window)
@@ -78,6 +78,11 @@ class ByteCnn:
         return names, scores
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of the general category L is among the text's; word characters such as superscripts are none."""
+    return any(m.group().isalpha() for m in _MAY_BE_LETTER.finditer(text))
+
+
 def _by_volume(ids: list[int], texts: list, most: int = 4_000_000) -> Iterator[list[int]]:
     """Groups of texts with a bounded number of characters, so that long texts don't add up."""
     group, held = [], 0
@@ -104,23 +109,26 @@ def windows_of(raw: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample(docs: DataFrame, spec: CnnSpec, id_col: str, text_col: str, label_col: str) -> dict[str, list[bytes]]:
-    """At most ``docs_per_class`` excerpts of every label, chosen by a hash of the id; fewer where the labels are so many that ``rows`` would be exceeded."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"))
+    """Excerpts of at most ``docs_per_class`` ids of every label, those with the smallest hashes; fewer where the labels are so many that ``rows`` would be exceeded.
+
+    Rows with one label and id give one excerpt, the smallest of theirs.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{label_col}`").cast("string").alias("label"))
     rows = rows.where("text is not null and label is not null")
     rows = rows.withColumn("h", F.xxhash64("id"))
-    found = rows.groupBy("label").count().limit(spec.rows + 1).collect()
+    found = rows.groupBy("label").agg(F.approx_count_distinct("h").alias("ids")).limit(spec.rows + 1).collect()
     if len(found) > spec.rows:
         raise ValueError(f"more than {spec.rows} labels: none is dropped, so raise CnnSpec.rows or clean the labels")
     each = min(spec.docs_per_class, spec.rows // max(1, len(found)))
     limits = []
-    for r in found:  # hashes that twice the wanted number of rows are expected below
-        share = min(1.0, 2 * (each + 20) / r["count"])
+    for r in found:  # hashes that twice the wanted number of ids are expected below
+        share = min(1.0, 2 * (each + 20) / max(1, r.ids))
         limits.append((r.label, min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))))
     chosen = F.broadcast(docs.sparkSession.createDataFrame(limits, "label string, most long"))  # as many rows as labels
     rows = rows.join(chosen, "label").where("h <= most")
     at = F.expr(f"cast(pmod(xxhash64(id, 1), greatest(length(text) - {spec.chars_per_doc}, 0) + 1) as int) + 1")
-    excerpts = rows.select("label", "h", "id", F.substring("text", at, F.lit(spec.chars_per_doc)).alias("text")).dropDuplicates(["label", "id"])
-    texts: dict[str, list] = {r.label: [] for r in sorted(found)}
+    excerpts = rows.select("label", "h", "id", F.substring("text", at, F.lit(spec.chars_per_doc)).alias("text")).groupBy("label", "h", "id").agg(F.min("text").alias("text"))
+    texts: dict[str, list] = {r.label: [] for r in sorted(found, key=lambda r: r.label)}
     for r in excerpts.collect():
         texts[r.label].append((r.h, str(r.id), r.text.encode()))
     return {n: [t for _, _, t in sorted(rows_)[:each]] for n, rows_ in texts.items()}

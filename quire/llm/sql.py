@@ -41,10 +41,10 @@ WITH rules(rule_host, rule_path, verdict) AS (
   SELECT 'trust' AS kind, src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM edges
   UNION ALL SELECT 'distrust', dst, src, weight / sum(weight) OVER (PARTITION BY dst) FROM edges
 ), {", ".join(steps)}, scores AS (
-  SELECT host, round(coalesce(sum(score) FILTER (WHERE kind = 'trust'), 0), 9) AS trust, round(coalesce(sum(score) FILTER (WHERE kind = 'distrust'), 0), 9) AS distrust FROM {last} GROUP BY host
+  SELECT host, coalesce(sum(score) FILTER (WHERE kind = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (WHERE kind = 'distrust'), 0) AS distrust FROM {last} GROUP BY host
 )
-SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, CASE WHEN coalesce(s.distrust, 0) > coalesce(s.trust, 0) THEN 'block' ELSE 'allow' END) AS verdict,
-  coalesce(s.trust, 0.0)::DOUBLE AS trust, coalesce(s.distrust, 0.0)::DOUBLE AS distrust
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, CASE WHEN coalesce(s.distrust, 0) > coalesce(s.trust, 0) * (1 + 1e-9) THEN 'block' ELSE 'allow' END) AS verdict,
+  round(coalesce(s.trust, 0.0)::DOUBLE, 9) AS trust, round(coalesce(s.distrust, 0.0)::DOUBLE, 9) AS distrust
 FROM parted p LEFT JOIN fitting f ON p.page_id = f.page_id LEFT JOIN scores s ON p.host = s.host
 """
 
@@ -84,6 +84,24 @@ FROM rows JOIN drawn USING (source, lang, topic)
 """
 
 
+#: All pairs of a label by brute force.
+OP2 = """
+WITH RECURSIVE sound AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach(node, other) AS (
+  SELECT a, b FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a
+), named AS (
+  SELECT node, least(node, min(other)) AS component_id FROM reach GROUP BY node
+), counted AS (
+  SELECT a, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT e.vec_id, coalesce(c.n_links, 0) AS n_links, coalesce(n.component_id, e.vec_id) AS component_id, coalesce(n.component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN counted c ON e.vec_id = c.a LEFT JOIN named n ON e.vec_id = n.node
+"""
+
 OP7 = """
 WITH vectors AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings

@@ -17,6 +17,8 @@ from quire.llm.runtime import cut, ready, small
 #: host, path, verdict
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 DAMPING, ROUNDS = 0.85, 12
+#: By what share distrust must exceed trust: scores shrink as hosts grow in number, so they are never compared rounded.
+TOLERANCE = 1e-9
 #: Hosts are sent to every task up to this number, and joined by a shuffle beyond it.
 BROADCAST_HOSTS = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,7 +67,8 @@ def judge(pages: DataFrame, rules: tuple = RULES, id_col: str = "page_id", url_c
 
     A rule fits its host and the hosts below it if the path starts with the
     rule's; of several the longest counts.  Where none fits, a host is blocked if
-    its distrust exceeds its trust, else allowed.  Null urls and urls without
+    its distrust exceeds its trust, however small both are, else allowed; the two
+    are rounded only as they are shown.  Null urls and urls without
     ``://`` have an empty host and path, fit no rule and are allowed; null html
     has no links.  Repeated rows are judged alike; links count once for each page
     row that holds them.
@@ -93,9 +96,9 @@ def judge(pages: DataFrame, rules: tuple = RULES, id_col: str = "page_id", url_c
     edges = cut(edges.union(tree).groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     scores = rank(cut(_shares(edges, "trust").union(_shares(back, "distrust"))), seeds)
-    scores = scores.groupBy("host").agg(*[F.round(F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)), 9).alias(k) for k in ("trust", "distrust")])
+    scores = scores.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")])
     facts = cut(hosts.select("host").join(near, "host", "left").join(scores, "host", "left").select("host", "rules", *[F.coalesce(k, F.lit(0.0)).alias(k) for k in ("trust", "distrust")]))
     out = rows.select("page", "host", "path").join(small(facts, BROADCAST_HOSTS), "host", "left").withColumn("fit", F.expr(fits))
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    verdict = F.coalesce("fit.rule_verdict", F.when(distrust > trust, "block").otherwise("allow"))
-    return out.select(F.col("page").alias(id_col), "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
+    verdict = F.coalesce("fit.rule_verdict", F.when(distrust > trust * (1 + TOLERANCE), "block").otherwise("allow"))
+    return out.select(F.col("page").alias(id_col), "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), F.round(trust, 9).alias("trust"), F.round(distrust, 9).alias("distrust"))

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from quire.llm.byte_cnn import ByteCnn, CnnSpec, _gradients, fit, predict, sample, train, windows_of
+from quire.llm.byte_cnn import ByteCnn, CnnSpec, _gradients, fit, has_letter, predict, sample, train, windows_of
 from quire.llm.queries import op5_byte_cnn_language
 
 
@@ -36,6 +36,43 @@ def test_gradients_match_differences():
         assert abs((up - down) / 2e-3 - grads[name][at]) < 2e-2 * max(1, abs(grads[name][at]))
 
 
+def test_predictions_are_those_of_a_plain_forward_pass(spark):
+    rng = np.random.default_rng(5)
+    texts = {"a": [b"the cat sat on the mat " * 9], "b": [b"el gato se sienta aqui " * 9], "c": ["été à la forêt ".encode() * 9]}
+    spec = CnnSpec(window=32, steps=40, filters=4)
+    model = fit(texts, spec)
+    words = ["the", "cat", "el", "gato", "aqui", "été", "forêt", "x", "1"]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(1, 60)))) for i in range(60)]
+    got = {r.doc_id: r for r in predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    w = model.weights
+    for i, text in rows:
+        raw, logs = text.encode(), []
+        for at in range(0, len(raw), 32):
+            window = raw[at : at + 32].ljust(32, b"\0")
+            hidden = []
+            for f in range(w["filters"].shape[1]):
+                kernel = w["filters"][:, f].reshape(4, -1)
+                hidden.append(max(0.0, max(sum(float(w["embed"][window[p + j]] @ kernel[j]) for j in range(4)) for p in range(29)) + float(w["bias"][f])))
+            z = np.array(hidden) @ w["out"] + w["out_bias"]
+            logs.append(z - z.max() - np.log(np.exp(z - z.max()).sum()))
+        mean = np.mean(logs, axis=0)
+        odds = np.exp(mean - mean.max()) / np.exp(mean - mean.max()).sum()
+        assert got[i].score == pytest.approx(odds.max(), abs=1e-4)
+        assert got[i].lang_pred == model.classes[odds.argmax()] or np.sort(odds)[-2] > odds.max() - 1e-4
+
+
+def test_labels_of_a_few_repeated_ids_are_learned(spark):
+    rows = [(i, f"some words of number {i}", "en") for i in range(1500)] + [(10_000 + i % 5, f"quelques mots {i % 3}", "fr") for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    found = sample(docs, CnnSpec(), "doc_id", "text", "lang")
+    assert len(found["fr"]) == 5 and len(found["en"]) == 500
+    assert found == sample(docs.repartition(3), CnnSpec(), "doc_id", "text", "lang")
+
+
+def test_letters():
+    assert has_letter("12 é") and has_letter("²a") and not has_letter("² ½ 3_") and not has_letter("")
+
+
 def test_windows_cover_whole_texts():
     windows, counts = windows_of([b"abcde", b"", b"xyzw"], 4)
     assert counts.tolist() == [2, 1, 1]

@@ -40,6 +40,17 @@ def test_rank_against_plain_iteration(spark):
     assert all(abs(got[h] - score[h]) < 1e-12 for h in "abcd")
 
 
+def test_small_scores_still_decide(spark):
+    """Five links from a blocked host, each one of a hundred: a distrust far below what is shown."""
+    chain = ["example.com", *[f"c{i}" for i in range(1, 6)]]
+    rows = [(0, "http://example.com/de/x", "")]
+    for i, host in enumerate(chain[:-1]):
+        rows += [(100 * (i + 1) + j, f"http://j{i}x{j}/", f'<a href="http://{host}/">') for j in range(99)] + [(10_000 + i, f"http://{chain[i + 1]}/", f'<a href="http://{host}/">')]
+    rows += [(20_000, "http://nowhere/", None)]
+    got = {r.page_id: r for r in judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[10_004].distrust == 0 and got[10_004].verdict == "block" and got[20_000].verdict == "allow"
+
+
 def test_sql(spark, data):
     con = duckdb.connect()
     con.sql(f"create view pages as select * from '{data}/pages.parquet'")
