@@ -23,19 +23,24 @@ from quire.llm.graph import connected_components
 from quire.llm.runtime import cut, ready
 
 
+#: Vectors of a node that are tried as middles of a large group.
+PROBES = 256
+
+
 @dataclass(frozen=True)
 class ForestSpec:
     """Trees, the width of their overlaps, and the bound of the sample that fits the upper splits."""
 
-    trees: int = 10
+    trees: int = 10  # most; each three levels of splits take one more, from three on, and none are needed where nothing is split
     overlap: float = 0.12  # share of a node's vectors, nearest to the median, that go to both sides
     sample: int = 20_000  # vectors, chosen by a hash, that fit the upper splits
-    sample_leaf: int = 250  # sampled vectors in a leaf of the upper splits, at most
-    leaf: int = 256  # vectors that are compared with each other without further splits
-    dense: int = 4_096  # the same for vectors that nearly point one way; more are compared apart, in chunks of so many
+    sample_leaf: int = 50  # sampled vectors in a node that is split, at least
+    leaf: int = 2_048  # vectors of a label that are compared with each other without further splits
+    seed: int = 17
+    dense: int = 1_024  # near copies, beyond which a group is compared apart
+    chunk: int = 4_096  # vectors of such a group that are compared with as many in one place
     group: float = 0.93  # least length of the mean of unit vectors in a large group of near copies
     reach: float = 0.9  # least cosine of a group's vectors with its centre
-    seed: int = 17
 
 
 def _split(points: np.ndarray, overlap: float, rng: np.random.Generator) -> tuple[np.ndarray, float, float] | None:
@@ -54,25 +59,27 @@ def _split(points: np.ndarray, overlap: float, rng: np.random.Generator) -> tupl
     return None
 
 
-def _dense(points: np.ndarray, spec: ForestSpec, each: float = 1.0) -> bool:
-    """Whether the vectors, each standing for so many rows, nearly point one way, so that a split would part many links, yet are few enough to compare."""
-    return len(points) * each <= spec.dense and float(np.linalg.norm(points.mean(axis=0))) >= 0.9
+def levels(rows: float, spec: ForestSpec) -> int:
+    """Splits that a label of so many rows goes through."""
+    return max(0, int(np.ceil(np.log2(max(1.0, rows / spec.leaf)))))
 
 
-def grow(sample: np.ndarray, spec: ForestSpec, rows: int = 0) -> list[list]:
+def grow(sample: np.ndarray, spec: ForestSpec, most: int = 0) -> list[list]:
     """The upper splits of every tree: nodes (direction, band, left, right), leaves by number.
 
-    ``rows`` is what the sample stands for.
+    ``most`` is how many rows the largest label has.  A split parts a few in a
+    hundred of the links, so the trees grow in number with the levels.
     """
-    each = max(1.0, rows / max(1, len(sample)))
+    depth = levels(most, spec)
+    each = most / max(1, len(sample))  # rows of the largest label that a sampled vector stands for
     forest = []
-    for t in range(spec.trees):
+    for t in range(min(spec.trees, 3 + depth // 3) if depth else 1):
         rng, nodes = np.random.default_rng((spec.seed, t)), []
 
         def build(points: np.ndarray) -> int:
             at = len(nodes)
             nodes.append(None)
-            found = _split(points, spec.overlap, rng) if len(points) > spec.sample_leaf and not _dense(points, spec, each) else None
+            found = _split(points, spec.overlap, rng) if len(points) > spec.sample_leaf and len(points) * each > spec.leaf else None
             if found:
                 spots = points @ found[0]
                 nodes[at] = (*found, build(points[spots <= found[2]]), build(points[spots >= found[1]]))
@@ -88,7 +95,7 @@ def dense_centres(forest: list[list], sample: np.ndarray, spec: ForestSpec, rows
     each, found = max(1.0, rows / max(1, len(sample))), []
     for nodes in forest[:2]:
         for _, at in route(nodes, sample):
-            todo = [at]
+            todo = [np.sort(at)]
             while todo:
                 at = todo.pop()
                 if len(at) * each <= spec.dense / 4 or len(at) < 4:
@@ -97,9 +104,9 @@ def dense_centres(forest: list[list], sample: np.ndarray, spec: ForestSpec, rows
                 if np.linalg.norm(mean) >= spec.group:
                     found.append((len(at), mean / np.linalg.norm(mean)))
                     continue
-                # a group may share its leaf with others: try the vectors around the one with the most near it
-                near = sample[at] @ sample[at].T >= spec.reach
-                some = near[near.sum(axis=1).argmax()]
+                # a group may share its leaf with others: of some vectors, take those around the one with the most near it
+                tried = sample[at[:PROBES]] @ sample[at].T >= spec.reach  # the sample stands in the order of a hash
+                some = tried[tried.sum(axis=1).argmax()]
                 mean = sample[at[some]].mean(axis=0)
                 if some.sum() * each > spec.dense / 4 and some.sum() >= 4 and np.linalg.norm(mean) >= spec.group:
                     found.append((int(some.sum()), mean / np.linalg.norm(mean)))
@@ -140,7 +147,7 @@ def near_pairs(points: np.ndarray, least: float, spec: ForestSpec, rng: np.rando
     todo = [np.arange(len(points))]
     while todo:
         rows = todo.pop()
-        split = _split(points[rows], spec.overlap, rng) if len(rows) > spec.leaf and not _dense(points[rows], spec) else None
+        split = _split(points[rows], spec.overlap, rng) if len(rows) > spec.leaf else None
         if split:
             spots = points[rows] @ split[0]
             todo += [rows[spots <= split[2]], rows[spots >= split[1]]]
@@ -158,6 +165,8 @@ def near_pairs(points: np.ndarray, least: float, spec: ForestSpec, rng: np.rando
 def _unit(vectors: pa.Array | list) -> np.ndarray:
     """Vectors of one length, scaled first by their largest component so that squares neither overflow nor vanish."""
     x = np.array(list(vectors), np.float64)
+    if not len(x):
+        return np.zeros((0, 1))
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -176,9 +185,10 @@ def link_embeddings(vectors: DataFrame, least: float = 0.93, spec: ForestSpec =
     rows are linked with each other, since their cosine is one.
     """
     spark = ready(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"  # vectors move as they came
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast(f"array<{kind}>").alias("v"), F.col(f"`{label_col}`").alias("label"))
     sound = "id is not null and label is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)"
-    rows = rows.withColumn("v", F.when(F.coalesce(F.expr(sound), F.lit(False)), F.expr("transform(v, x -> x + 0.0D)")))
+    rows = rows.withColumn("v", F.when(F.coalesce(F.expr(sound), F.lit(False)), F.expr(f"transform(v, x -> cast(x + 0.0D as {kind}))")))
     mark = rows.withColumns({"h1": F.xxhash64("label", "v"), "h2": F.xxhash64(F.lit(1), "label", "v")})
     classes = mark.where("v is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = cut(classes.select("h1", "h2", "rep", "copies", F.xxhash64("label").alias("side"), F.size("v").alias("dim"), "v"))
@@ -187,11 +197,12 @@ def link_embeddings(vectors: DataFrame, least: float = 0.93, spec: ForestSpec =
     for dim, n in sizes:
         some = classes.where(F.col("dim") == dim)
         picked = _unit(some.orderBy(F.xxhash64("rep"), "rep").limit(spec.sample).select("v").toArrow().column(0).to_pylist())
-        forest = grow(picked, spec, n)
+        most = some.groupBy("side").count().agg(F.max("count")).first()[0]
+        forest = grow(picked, spec, most)
         centres = dense_centres(forest, picked, spec, n)
-        pairs = pairs.union(_meet(some.select("rep", "side", "v"), forest, centres, least, spec))
+        pairs = pairs.union(_meet(some.select("rep", "side", "v"), forest, centres, least, spec, kind))
         if len(centres):
-            crowds = crowds.union(_crowds(some.select("rep", "side", "copies", "v"), centres, least, spec))
+            crowds = crowds.union(_crowds(some.select("rep", "side", "copies", "v"), centres, least, spec, kind))
     pairs, crowds = cut(pairs.distinct()), cut(crowds)
     named = connected_components(pairs.union(crowds.where("b is not null").select("a", "b")))
     ends = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(pairs.select("b", "a"))
@@ -208,7 +219,7 @@ def link_embeddings(vectors: DataFrame, least: float = 0.93, spec: ForestSpec =
     return out.select(F.col("id").alias(id_col), F.when(ours, F.col("n_links")).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 
 
-def _meet(classes: DataFrame, forest: list, centres: np.ndarray, least: float, spec: ForestSpec) -> DataFrame:
+def _meet(classes: DataFrame, forest: list, centres: np.ndarray, least: float, spec: ForestSpec, kind: str) -> DataFrame:
     """Pairs of classes that share a leaf of some tree, are near enough, and are not both of one large group."""
     shared = classes.sparkSession.sparkContext.broadcast((forest, centres))  # bounded by the sample
 
@@ -218,21 +229,20 @@ def _meet(classes: DataFrame, forest: list, centres: np.ndarray, least: float, s
             if not batch.num_rows:
                 continue
             unit = _unit(batch.column(2).to_pylist())
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(unit.ravel()), unit.shape[1]).cast(pa.list_(pa.float64()))
             group = pa.array(groups_of(unit, middle, spec.reach), pa.int32())
             for t, nodes in enumerate(trees):
                 for leaf, rows in route(nodes, unit):
                     take = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([batch.column(1).take(take), pa.array([t * 1_000_000 + leaf] * len(rows), pa.int64()), batch.column(0).take(take), group.take(take), flat.take(take)], ["side", "leaf", "rep", "crowd", "v"])
+                    yield pa.RecordBatch.from_arrays([batch.column(1).take(take), pa.array([t * 1_000_000 + leaf] * len(rows), pa.int64()), batch.column(0).take(take), group.take(take), batch.column(2).take(take)], ["side", "leaf", "rep", "crowd", "v"])
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        unit, ids, group = np.stack(pdf["v"].to_list()), pdf["rep"].to_numpy(), pdf["crowd"].to_numpy()
+        unit, ids, group = _unit(pdf["v"].to_list()), pdf["rep"].to_numpy(), pdf["crowd"].to_numpy()
         order = np.argsort(ids, kind="stable")
         unit, ids, group = unit[order], ids[order], group[order]
         i, j = near_pairs(unit, least, spec, np.random.default_rng((spec.seed, abs(int(key[1])))), group=group)
         return pd.DataFrame({"a": ids[i], "b": ids[j]})
 
-    leaves = classes.mapInArrow(spread, "side long, leaf long, rep long, crowd int, v array<double>")
+    leaves = classes.mapInArrow(spread, f"side long, leaf long, rep long, crowd int, v array<{kind}>")
     return leaves.groupBy("side", "leaf").applyInPandas(compare, "a long, b long")
 
 
@@ -252,20 +262,19 @@ def spanning(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _crowds(classes: DataFrame, centres: np.ndarray, least: float, spec: ForestSpec) -> DataFrame:
+def _crowds(classes: DataFrame, centres: np.ndarray, least: float, spec: ForestSpec, kind: str) -> DataFrame:
     """Of the vectors in large groups: ``a``, null and ``n``, the rows that its links reach there; and links ``a``, ``b`` that connect them."""
     shared = classes.sparkSession.sparkContext.broadcast(centres)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit = _unit(batch.column(3).to_pylist()) if batch.num_rows else np.zeros((0, 1))
+            unit = _unit(batch.column(3).to_pylist())
             group = groups_of(unit, shared.value, spec.reach)
             inside = pa.array(np.nonzero(group >= 0)[0])
-            flat = pa.array(list(unit[group >= 0]), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(inside) for i in range(3)], pa.array(group[group >= 0], pa.int32()), flat], ["rep", "side", "copies", "crowd", "v"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(inside) for i in range(3)], pa.array(group[group >= 0], pa.int32()), batch.column(3).take(inside)], ["rep", "side", "copies", "crowd", "v"])
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        unit, ids, copies, own = np.stack(pdf["v"].to_list()), pdf["rep"].to_numpy(), pdf["copies"].to_numpy(np.int64), pdf["own"].to_numpy()
+        unit, ids, copies, own = _unit(pdf["v"].to_list()), pdf["rep"].to_numpy(), pdf["copies"].to_numpy(np.int64), pdf["own"].to_numpy()
         left, right = np.nonzero(own == key[2])[0], np.nonzero(own == key[3])[0]
         near = unit[left] @ unit[right].T >= least
         out = []
@@ -277,8 +286,8 @@ def _crowds(classes: DataFrame, centres: np.ndarray, least: float, spec: ForestS
         out += [(int(ids[left[i]]), int(ids[right[j]]), 0) for i, j in spanning(near) if ids[left[i]] != ids[right[j]]]
         return pd.DataFrame({"a": [x[0] for x in out], "b": pd.array([x[1] for x in out], "Int64"), "n": [x[2] for x in out]})
 
-    found = cut(classes.mapInArrow(place, "rep long, side long, copies long, crowd int, v array<double>"))
-    sizes = found.groupBy("side", "crowd").agg(F.ceil(F.count("*") / spec.dense).cast("int").alias("chunks"))
+    found = cut(classes.mapInArrow(place, f"rep long, side long, copies long, crowd int, v array<{kind}>"))
+    sizes = found.groupBy("side", "crowd").agg(F.ceil(F.count("*") / spec.chunk).cast("int").alias("chunks"))
     dealt = found.join(sizes, ["side", "crowd"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).withColumns({"one": F.least("own", "other"), "two": F.greatest("own", "other")})
     return dealt.groupBy("side", "crowd", "one", "two").applyInPandas(compare, "a long, b long, n long")

@@ -47,7 +47,7 @@ def test_many_splits_keep_recall(spark):
     base = rng.normal(size=(150, 24))
     vectors = np.repeat(base, 8, axis=0) + rng.normal(0, 0.17, (1200, 24))
     rows = [(i, [float(x) for x in v], i // 600) for i, v in enumerate(vectors)]
-    spec = ForestSpec(sample=300, sample_leaf=40, leaf=16)
+    spec = ForestSpec(sample=300, sample_leaf=10, leaf=16)
     got = link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), spec=spec).collect()
     links, _ = plain([(i, [float(np.float32(x)) for x in v], k) for i, v, k in rows])
     assert sum(links.values()) > 2000
@@ -62,7 +62,7 @@ def test_large_groups_of_near_copies_lose_no_link(spark):
     vectors[40:60] = vectors[20:40]
     vectors = vectors[rng.permutation(len(vectors))].astype(np.float32)
     rows = [(i, [float(x) for x in v], i % 2) for i, v in enumerate(vectors)]
-    spec = ForestSpec(sample=800, sample_leaf=60, leaf=64, dense=300, trees=6)
+    spec = ForestSpec(sample=800, sample_leaf=20, leaf=64, dense=300, chunk=250)
     got = {r.vec_id: r for r in link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), spec=spec).collect()}
     unit = vectors.astype(np.float64)
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
