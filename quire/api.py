@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.config import Config
 from quire.functions import text as _text
 from quire.operators import boxes as _boxes
-from quire.operators.overlap import choose_segments, segment_boxes
+from quire.operators.overlap import segment_cascade
 from quire.operators.raster import ink_ratio
 from quire.operators.verdicts import type_groups
 from quire.plans.identity import detect_identities
@@ -32,7 +32,8 @@ def get_config(path: str | None = None) -> Config:
 
 def extract_page_data(files: DataFrame, providers: Providers, config: Config | None = None, auto_detect: bool = True) -> DataFrame:
     """Pages of files with their text, language, ink and confidence."""
-    return page_metrics(extract_pages(files, providers), config, auto_detect)
+    config = config or Config.default()
+    return page_metrics(extract_pages(files, providers, config.languages if auto_detect else None, config.primary_language), config, auto_detect)
 
 
 def process_identity_documents(segments: DataFrame, config: Config | None = None) -> DataFrame:
@@ -43,12 +44,12 @@ def group_identity_documents(segments: DataFrame) -> DataFrame:
     return type_groups(segments)
 
 
-def segment_documents_on_page(candidates: DataFrame, *keys: str, config: Config | None = None) -> DataFrame:
-    """``boxes`` of each page from its contours; a page without a document-sized one is a single box."""
-    found = segment_boxes(candidates, config or Config.default(), *keys)
+def segment_documents_on_page(candidates: DataFrame, *keys: str, config: Config | None = None, by_row: DataFrame | None = None, by_column: DataFrame | None = None) -> DataFrame:
+    """``boxes`` of each page from its contours, else from the gaps in its profiles; failing both, a page is a single box."""
+    config = config or Config.default()
     pages = candidates.select(*keys, "page_w", "page_h").distinct()
-    whole = F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("page_w").cast("int").alias("w"), F.col("page_h").cast("int").alias("h"))
-    return pages.join(found.select(*keys, "boxes"), list(keys), "left").withColumn("boxes", choose_segments(F.col("boxes"), whole=whole)).select(*keys, "boxes")
+    none = candidates.select(*keys, F.lit(0).alias("pos"), F.lit(0).alias("ink")).limit(0)
+    return segment_cascade(pages, candidates, none if by_row is None else by_row, none if by_column is None else by_column, config, *keys).select(*keys, "boxes")
 
 
 def calculate_ocr_confidence(boxes: DataFrame, *keys: str, mode: str = "fast", lang: str = "eng") -> DataFrame:

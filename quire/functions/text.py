@@ -6,6 +6,7 @@ texts behave like empty ones unless a function says otherwise.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -125,6 +126,23 @@ def detect_language(text: Column, languages: Mapping[str, Sequence[str]] = fixed
     return F.when(best.n > 0, best.lang).otherwise(F.lit(primary))
 
 
+def language_of(text: str, languages: Mapping[str, Sequence[str]] = fixed.LANGUAGE_KEYWORDS, primary: str = fixed.PRIMARY_LANGUAGE) -> str:
+    """What ``detect_language`` says of one text, for use between two steps of reading a page."""
+    for p in fixed.BOX_ARTIFACTS:
+        text = re.sub(p, "", text, flags=re.IGNORECASE)
+    low, best, found = text.lower(), 0, primary
+    for name, words in languages.items():
+        n = sum(w.lower() in low for w in words)
+        if n > best:
+            best, found = n, name
+    return found
+
+
+def key_values_json(text: Column) -> Column:
+    """The keys and values of a text as a JSON object, in line order."""
+    return F.to_json(F.map_from_entries(key_values(text)))
+
+
 def key_values(text: Column) -> Column:
     """Array of (``key``, ``value``), in line order, of lines ``key: value`` or, failing a colon, ``key - value``.
 

@@ -115,6 +115,12 @@ def fit_within(width: int, height: int, most: tuple[int, int] = (400, 400)) -> t
     return int(width * scale), int(height * scale)
 
 
+def fitted(width: Column, height: Column, most: tuple[int, int] = (400, 400)) -> Column:
+    """The same of columns: ``w`` and ``h`` of images scaled down, never up, to fit."""
+    scale = F.least(F.lit(float(most[0])) / width, F.lit(float(most[1])) / height, F.lit(1.0))
+    return F.struct((width * scale).cast("int").alias("w"), (height * scale).cast("int").alias("h"))
+
+
 def shrink(pixels: np.ndarray, most: tuple[int, int] = (400, 400)) -> np.ndarray:
     """The image scaled down by averaging areas."""
     height, width = pixels.shape[:2]

@@ -33,6 +33,12 @@ def first_page(pages: DataFrame, order: str, file: str = "file", page: str = "pa
     return pages.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
+def by_page(segments: DataFrame, *columns: str, file: str = "file", page: str = "page", seg: str = "seg") -> DataFrame:
+    """For each page of a file the number of its segments and their ``columns``, in order; a page has as many as it has boxes."""
+    one = F.struct(seg, *columns)
+    return segments.groupBy(file, page).agg(F.count("*").alias("n_segments"), F.array_sort(F.collect_list(one)).alias("segments"))
+
+
 def explode_segments(pages: DataFrame, boxes: str = "boxes") -> DataFrame:
     """A row for each box of a page, numbered from one."""
     rest = [c for c in pages.columns if c != boxes]
@@ -43,7 +49,7 @@ def read_segments(pages: DataFrame, decoder: Any, ocr: Any, lang: str = "eng") -
     """Texts and metrics of each segment of ``pages`` (``file, page, content, boxes``), ready for identity detection.
 
     Every box is cut out of the decoded page and read quickly; a short reading is
-    tried again in full and replaced if that gives half as much again.  A page
+    tried again in full, and only then, and replaced if that gives half as much again.  A page
     that can't be decoded gives one row with ``error``.
     """
     from quire.operators.raster import grey, otsu
@@ -63,7 +69,7 @@ def read_segments(pages: DataFrame, decoder: Any, ocr: Any, lang: str = "eng") -
             image, out = decoder.decode(content), []
             for seg, b in enumerate(boxes, 1):
                 part = image[b["y"] : b["y"] + b["h"], b["x"] : b["x"] + b["w"]]
-                text = better_text(ocr.text(part, "fast", lang), ocr.text(part, "full", lang)) if ocr else ""
+                text = better_text(ocr.text(part, "fast", lang), lambda p=part: ocr.text(p, "full", lang)) if ocr else ""
                 out.append((file, page, seg, b["x"], b["y"], b["w"], b["h"], text, confidence(ocr.boxes(part, "fast", lang)) if ocr else 0.0, otsu(grey(part))[1], None))
             return out
         except Exception as e:  # whatever a provider raises becomes the page's error row

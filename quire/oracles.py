@@ -38,16 +38,16 @@ _SNIPPETS = """
   WHEN 5 THEN text || chr(10) || '???? a  ' || chr(9) || 'b' || chr(10) || chr(10) || chr(10) || '•••••' || chr(65533) || chr(1)
   WHEN 6 THEN text || chr(10) || 'identity card surname: SMITH - given name: ANNA place of birth London'
   WHEN 7 THEN text || chr(10) || 'signature - expiry date valid until 2030 barcode seal stamp'
-  WHEN 8 THEN '' WHEN 9 THEN '12 34 ## 56'
   WHEN 10 THEN text || chr(10) || 'k: 1' || chr(10) || 'k: 2'
   WHEN 11 THEN text || chr(10) || '2/17/26, 9:23 AM Preview Google Chrome'
   WHEN 12 THEN text || chr(10) || '< < <<' WHEN 13 THEN text || chr(10) || 'firma timbro' WHEN 14 THEN text || chr(10) || 'photo image'"""
 
 AUG = f"""aug AS (
-  SELECT doc_id, doc_id // 10 AS file, CAST(doc_id % 10 // 2 + 1 AS INT) AS page,
+  SELECT doc_id, doc_id // 10 AS file, CAST(CASE WHEN doc_id % 50 = 0 THEN 6 ELSE doc_id % 10 // 2 + 1 END AS INT) AS page,
     CAST(CASE WHEN doc_id // 10 % 2 = 0 THEN doc_id % 2 + 1 ELSE 2 - doc_id % 2 END AS INT) AS seg, source,
     CASE doc_id % 16 {_SNIPPETS} ELSE text END AS text
-  FROM documents WHERE doc_id % 50 <> 0)"""
+  FROM (SELECT doc_id, text, source FROM documents
+    UNION ALL SELECT doc_id + 1000000000000, CASE doc_id % 16 WHEN 8 THEN '' ELSE '12 34 ## 56' END, source FROM documents WHERE doc_id % 16 IN (8, 9)) d)"""
 
 SEG = AUG + """, seg AS (
   SELECT *, lower(text) AS low, (doc_id * 7 % 1001)::DOUBLE / 10 AS ocr, (doc_id * 37 % 1000)::DOUBLE / 1000 AS ink FROM aug)"""
@@ -78,6 +78,22 @@ def _words(table: dict, key: str, lang: str | None = None) -> list[str]:
 _T, _S = fixed.DOCUMENT_TYPES, fixed.DOCUMENT_SIDES
 
 
+def _projection(shift: int, name: str) -> str:
+    """``halves``, with ``name`` behind it, of the customers' profiles."""
+    return f"""base{name} AS (SELECT c_custkey AS page, c_custkey + {shift} AS num, CAST(60 + (c_custkey + {shift}) % 60 AS INT) AS size FROM customer
+), prof{name} AS (
+  SELECT page, size, pos, CASE WHEN num % 17 = 0 THEN 0 WHEN pos >= num % size AND pos < num % size + num % 9 THEN pos % 4 WHEN pos % 31 = 0 THEN 1 ELSE 20 + (pos * 7 + num) % 30 END AS ink
+  FROM (SELECT page, num, size, unnest(range(size)) AS pos FROM base{name})
+), low{name} AS (
+  SELECT page, size, pos, pos - row_number() OVER (PARTITION BY page ORDER BY pos) AS run FROM (SELECT *, max(ink) OVER (PARTITION BY page) AS most FROM prof{name}) WHERE most > 0 AND ink < greatest(5, floor(most * 0.05))
+), runs{name} AS (SELECT page, size, count(*) AS n, min(pos) AS a, max(pos) AS b FROM low{name} GROUP BY page, size, run
+), best{name} AS (SELECT * FROM runs{name} QUALIFY row_number() OVER (PARTITION BY page ORDER BY n DESC, a) = 1
+), cut{name} AS (SELECT page, size, CAST((a + b) // 2 AS INT) AS split, CAST(floor(size * 0.01) AS INT) AS pad FROM best{name} WHERE n >= greatest(3, floor(size * 0.03))
+), parts{name} AS (SELECT *, greatest(0, split - pad) AS e1, least(size, split + pad) AS s2 FROM cut{name}
+), halves{name} AS (
+  SELECT page, size, split, CASE WHEN e1 > 10 THEN 0 END AS start_1, CASE WHEN e1 > 10 THEN e1 END AS size_1, CASE WHEN size - s2 > 10 THEN s2 END AS start_2, CASE WHEN size - s2 > 10 THEN size - s2 END AS size_2 FROM parts{name})"""
+
+
 def _classified() -> str:
     return f"""feat AS (
   SELECT *, length(text) AS n_chars, {_hits("low", _words(_T, "residential_id"))} > 0 AS has_r, {_hits("low", _words(_T, "aadhaar"))} > 0 AS has_a,
@@ -335,16 +351,32 @@ SELECT page, idx, round(CASE WHEN {_UNION} > 0 THEN {_IOU}::DOUBLE / {_UNION} EL
   SELECT page, ord, greatest(0, b.x - trunc(b.w * 0.08::DOUBLE)::INT) AS x, greatest(0, b.y - trunc(b.h * 0.08::DOUBLE)::INT) AS y,
     least(600, b.x + b.w + trunc(b.w * 0.08::DOUBLE)::INT) - greatest(0, b.x - trunc(b.w * 0.08::DOUBLE)::INT) AS w, least(400, b.y + b.h + trunc(b.h * 0.08::DOUBLE)::INT) - greatest(0, b.y - trunc(b.h * 0.08::DOUBLE)::INT) AS h FROM flat
 ), """ + _REPAIR.format(src="src", name="boxes"),
-        "projection_split": """WITH base AS (SELECT c_custkey AS page, CAST(60 + c_custkey % 60 AS INT) AS size FROM customer
-), prof AS (
-  SELECT page, size, pos, CASE WHEN page % 17 = 0 THEN 0 WHEN pos >= page % size AND pos < page % size + page % 9 THEN pos % 4 WHEN pos % 31 = 0 THEN 1 ELSE 20 + (pos * 7 + page) % 30 END AS ink
-  FROM (SELECT page, size, unnest(range(size)) AS pos FROM base)
-), low AS (
-  SELECT page, size, pos, pos - row_number() OVER (PARTITION BY page ORDER BY pos) AS run FROM (SELECT *, max(ink) OVER (PARTITION BY page) AS most FROM prof) WHERE most > 0 AND ink < greatest(5, floor(most * 0.05))
-), runs AS (SELECT page, size, count(*) AS n, min(pos) AS a, max(pos) AS b FROM low GROUP BY page, size, run
-), best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY page ORDER BY n DESC, a) = 1
-), cut AS (SELECT page, size, CAST((a + b) // 2 AS INT) AS split, CAST(floor(size * 0.01) AS INT) AS pad FROM best WHERE n >= greatest(3, floor(size * 0.03))
-), parts AS (SELECT *, greatest(0, split - pad) AS e1, least(size, split + pad) AS s2 FROM cut)
-SELECT page, size, split, CASE WHEN e1 > 10 THEN 0 END AS start_1, CASE WHEN e1 > 10 THEN e1 END AS size_1, CASE WHEN size - s2 > 10 THEN s2 END AS start_2, CASE WHEN size - s2 > 10 THEN size - s2 END AS size_2 FROM parts""",
+        "projection_split": f"WITH {_projection(0, '')} SELECT * FROM halves",
+        "projection_split_columns": f"WITH {_projection(5, '')} SELECT * FROM halves",
+        "segment_cascade": f"""WITH {_projection(0, "_r")}, {_projection(5, "_c")}, sized AS (
+  SELECT c_custkey AS page, 60 + (c_custkey + 5) % 60 AS w, 60 + c_custkey % 60 AS h FROM customer
+), told AS (
+  SELECT s.page, w, h, r.start_1 AS r1, r.size_1 AS rs1, r.start_2 AS r2, r.size_2 AS rs2, c.start_1 AS c1, c.size_1 AS cs1, c.start_2 AS c2, c.size_2 AS cs2
+  FROM sized s LEFT JOIN halves_r r ON s.page = r.page LEFT JOIN halves_c c ON s.page = c.page
+)
+SELECT page, CASE WHEN page % 4 = 0 THEN '0:0:56:34'
+  WHEN r1 IS NOT NULL OR r2 IS NOT NULL THEN concat_ws(' ', '0:' || r1 || ':' || w || ':' || rs1, '0:' || r2 || ':' || w || ':' || rs2)
+  WHEN c1 IS NOT NULL OR c2 IS NOT NULL THEN concat_ws(' ', c1 || ':0:' || cs1 || ':' || h, c2 || ':0:' || cs2 || ':' || h)
+  ELSE '0:0:' || w || ':' || h END AS boxes,
+  CASE WHEN page % 4 = 0 THEN 'contours' WHEN r1 IS NOT NULL OR r2 IS NOT NULL THEN 'rows' WHEN c1 IS NOT NULL OR c2 IS NOT NULL THEN 'columns' ELSE 'page' END AS found_by FROM told""",
+        "page_groups": f"WITH {SEG} SELECT file, page, count(*) AS n_segments, string_agg(seg || ':' || doc_id, ' ' ORDER BY seg, doc_id) AS segments FROM seg GROUP BY file, page",
+        "page_json": f"""WITH {PAGES}, one AS (SELECT file, page, text, '<h3>Page ' || page || '</h3><div>' || replace(text, chr(10), '<br>') || '</div>' AS html FROM pg)
+SELECT file, '{{' || string_agg('"page_' || page || '":{{"text":' || to_json(text) || ',"html":' || to_json(html) || '}}', ',' ORDER BY page) || '}}' AS content FROM one GROUP BY file""",
+        "key_value_json": f"""WITH {AUG}, lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM aug
+), pairs AS (
+  SELECT doc_id, n, regexp_extract(line, '^([^:]+):(.+)$', 1) AS k, regexp_extract(line, '^([^:]+):(.+)$', 2) AS v FROM lines WHERE regexp_matches(line, '^[^:]+:.+$')
+  UNION ALL SELECT doc_id, n, regexp_extract(line, '^([^-]+)-(.+)$', 1), regexp_extract(line, '^([^-]+)-(.+)$', 2) FROM lines WHERE NOT regexp_matches(line, '^[^:]+:.+$') AND regexp_matches(line, '^[^-]+-.+$')
+), bare AS (SELECT doc_id, n, {_strip("k")} AS key, {_strip("v")} AS value FROM pairs
+), kept AS (SELECT doc_id, key, max(n) AS n, arg_max(value, n) AS value FROM bare GROUP BY doc_id, key
+  UNION ALL SELECT doc_id, 'line_' || n, n, {_strip("line")} FROM lines WHERE doc_id NOT IN (SELECT doc_id FROM pairs) AND {_strip("line")} <> '')
+SELECT a.doc_id, '{{' || coalesce(string_agg(to_json(key) || ':' || to_json(value), ',' ORDER BY n), '') || '}}' AS keys FROM aug a LEFT JOIN kept k USING (doc_id) GROUP BY a.doc_id""",
+        "fit_sizes": """WITH sized AS (SELECT p_partkey, CAST(p_partkey * 37 % 1900 + 1 AS INT) AS w, CAST(p_partkey * 53 % 1300 + 1 AS INT) AS h FROM part)
+SELECT p_partkey, CAST(trunc(w * least(400::DOUBLE / w, 400::DOUBLE / h, 1)) AS INT) AS fit_w, CAST(trunc(h * least(400::DOUBLE / w, 400::DOUBLE / h, 1)) AS INT) AS fit_h FROM sized""",
     }
     return out

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What is put below a document's text, or in its place, by its number modulo 16.
+#: What is put below a document's text by its number modulo 16.
 APPENDED = {
     1: "CARTA D'IDENTITA COGNOME: ROSSI NOME: MARIO DATA DI NASCITA: 01/01/1990 CITTADINANZA ITALIANA SESSO M",
     2: "FIRMA SCADENZA 2028 RILASCIATO DA QUESTURA C<ITA<<<<<<<<ROSSI<<MARIO<<<",
@@ -25,7 +25,8 @@ APPENDED = {
     13: "firma timbro",
     14: "photo image",
 }
-REPLACED = {8: "", 9: "12 34 ## 56"}
+#: Texts of further rows, one for each document of that number modulo 16, whose own number is this much larger.
+ADDED, FURTHER = {8: "", 9: "12 34 ## 56"}, 10**12
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -35,16 +36,20 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id``, ``text``, ``source`` and page keys of every document but each fiftieth."""
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source").where("doc_id % 50 <> 0"))
+    """``doc_id``, ``text``, ``source`` and page keys of every document, and of further rows with texts of edge cases.
+
+    Each fiftieth document has a page of its own, so that some pages have one segment.
+    """
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
     bucket = F.col("doc_id") % 16
     text = F.col("text")
     for n, snippet in APPENDED.items():
         text = F.when(bucket == n, F.concat("text", F.lit("\n"), F.lit(snippet))).otherwise(text)
-    for n, snippet in REPLACED.items():
-        text = F.when(bucket == n, F.lit(snippet)).otherwise(text)
+    further = docs.where(bucket.isin(*ADDED)).select((F.col("doc_id") + FURTHER).alias("doc_id"), F.when(bucket == 8, ADDED[8]).otherwise(ADDED[9]).alias("text"), "source")
+    docs = docs.withColumn("text", text).union(further)
+    page = F.expr("cast(if(doc_id % 50 = 0, 6, doc_id % 10 div 2 + 1) as int)")
     seg = F.expr("cast(if(doc_id div 10 % 2 = 0, doc_id % 2 + 1, 2 - doc_id % 2) as int)")
-    return docs.select("doc_id", F.expr("doc_id div 10").alias("file"), F.expr("cast(doc_id % 10 div 2 + 1 as int)").alias("page"), seg.alias("seg"), text.alias("text"), "source")
+    return docs.select("doc_id", F.expr("doc_id div 10").alias("file"), page.alias("page"), seg.alias("seg"), "text", "source")
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,9 +98,20 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An ink profile for each customer, with a gap whose place and width the number decides."""
-    base = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("page"), F.expr("cast(60 + c_custkey % 60 as int)").alias("size"))
-    rows = base.select("page", "size", F.explode(F.expr("sequence(0, size - 1)")).alias("pos"))
-    ink = "case when page % 17 = 0 then 0 when pos >= page % size and pos < page % size + page % 9 then pos % 4 when pos % 31 = 0 then 1 else 20 + (pos * 7 + page) % 30 end"
+def profiles(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
+    """An ink profile for each customer, with a gap whose place and width the number, moved by ``shift``, decides."""
+    base = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("page"), (F.col("c_custkey") + shift).alias("n"), F.expr(f"cast(60 + (c_custkey + {shift}) % 60 as int)").alias("size"))
+    rows = base.select("page", "n", "size", F.explode(F.expr("sequence(0, size - 1)")).alias("pos"))
+    ink = "case when n % 17 = 0 then 0 when pos >= n % size and pos < n % size + n % 9 then pos % 4 when pos % 31 = 0 then 1 else 20 + (pos * 7 + n) % 30 end"
     return rows.selectExpr("page", "pos", f"cast({ink} as int) as ink")
+
+
+def cascade_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each customer, as wide and high as its profiles by column and by row are long."""
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey as page", "cast(60 + (c_custkey + 5) % 60 as int) as page_w", "cast(60 + c_custkey % 60 as int) as page_h")
+
+
+def cascade_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A contour of a document's size on some of those pages, one too small on others."""
+    some = cascade_pages(spark, sf_dir).where("page % 4 < 2")
+    return some.selectExpr("page", "page_w", "page_h", "0 as idx", "2 as x", "2 as y", "if(page % 4 = 0, 50, 5) as w", "if(page % 4 = 0, 30, 3) as h", "cast(if(page % 4 = 0, 1500, 15) as double) as area")

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import importlib
+import os
 import time
+import webbrowser
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +43,8 @@ def report_rows(pages: DataFrame, readable_from: float = fixed.READABLE_FROM, em
 
 def scan_folder(spark: SparkSession, folder: str, providers: Providers, readable_from: float = fixed.READABLE_FROM, empty_below: float = fixed.EMPTY_BELOW_PERCENT, recursive: bool = False, config: Config | None = None, auto_detect: bool = True, full_text: bool = True) -> DataFrame:
     """Report rows of all files of a folder."""
-    pages = extract_pages(list_files(spark, folder, recursive=recursive), providers)
+    config = config or Config.default()
+    pages = extract_pages(list_files(spark, folder, recursive=recursive), providers, config.languages if auto_detect else None, config.primary_language)
     return report_rows(page_metrics(pages, config, auto_detect), readable_from, empty_below, full_text)
 
 
@@ -51,7 +56,9 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("-e", "--emptiness", type=float, default=fixed.EMPTY_BELOW_PERCENT, help="ink percentage from 0 to 10 below which a page is empty")
     p.add_argument("-r", "--recursive", action="store_true")
     p.add_argument("-v", "--verbose", action="store_true")
-    p.add_argument("-l", "--language", default=None)
+    p.add_argument("-l", "--language", default=None, help="the language of pages whose text names none, and of all pages without detection")
+    p.add_argument("--open", action="store_true", help="show the report when it is written")
+    p.add_argument("--providers", default=None, help="module:name of the Providers that read files")
     p.add_argument("--no-auto-detect", action="store_true")
     p.add_argument("--preview-text", action="store_true", help="the first 200 characters instead of whole texts")
     args = p.parse_args(argv)
@@ -65,9 +72,29 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
 def main(spark: SparkSession, providers: Providers, argv: list[str] | None = None) -> str:
     """Scans, writes the report and returns its path."""
     args, began = arguments(argv), time.time()
-    rows = scan_folder(spark, args.folder, providers, args.threshold, args.emptiness, args.recursive, auto_detect=not args.no_auto_detect, full_text=not args.preview_text).persist()
+    config = Config.default()
+    if args.language:
+        config = replace(config, primary_language=args.language)
+    rows = scan_folder(spark, args.folder, providers, args.threshold, args.emptiness, args.recursive, config, not args.no_auto_detect, not args.preview_text).persist()
     path = args.output or report_path(".")
     write_report(rows, path, args.folder, args.threshold, args.emptiness, time.time() - began)
+    if args.verbose:
+        for r in rows.orderBy("folder", "file", F.col("page").try_cast("int")).toLocalIterator():
+            print(f"{r.folder}/{r.file} page {r.page}: {r.error or f'confidence {r.confidence:.2f}, ink {r.ink_percent:.2f}%, {r.language}'}")
     print(summary_line(rows))
     rows.unpersist()
+    if args.open:
+        webbrowser.open(f"file://{os.path.abspath(path)}")
     return path
+
+
+def run(argv: list[str] | None = None) -> str:
+    """The command line: ``python -m quire.plans.scan FOLDER --providers module:name``."""
+    named = arguments(argv).providers
+    module, _, name = (named or "").partition(":")
+    providers = getattr(importlib.import_module(module), name) if name else Providers()
+    return main(SparkSession.builder.appName("quire").getOrCreate(), providers, argv)
+
+
+if __name__ == "__main__":
+    run()

@@ -366,10 +366,49 @@ def segment_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.segment_boxes(fixtures.candidates(spark, sf_dir), CONFIG, "page").select("page", _listed(F.col("boxes")).alias("boxes"))
 
 
+def _halves(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
+    out = raster.projection_split(fixtures.profiles(spark, sf_dir, shift), "page")
+    return out.select("page", "size", "split", F.col("first.start").alias("start_1"), F.col("first.size").alias("size_1"), F.col("second.start").alias("start_2"), F.col("second.size").alias("size_2"))
+
+
 @_query
 def projection_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = raster.projection_split(fixtures.profiles(spark, sf_dir), "page")
-    return out.select("page", "size", "split", F.col("first.start").alias("start_1"), F.col("first.size").alias("size_1"), F.col("second.start").alias("start_2"), F.col("second.size").alias("size_2"))
+    return _halves(spark, sf_dir, 0)
+
+
+@_query
+def projection_split_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _halves(spark, sf_dir, 5)
+
+
+@_query
+def segment_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, found = fixtures.cascade_pages(spark, sf_dir), fixtures.cascade_candidates(spark, sf_dir)
+    out = overlap.segment_cascade(pages, found, fixtures.profiles(spark, sf_dir), fixtures.profiles(spark, sf_dir, 5), CONFIG, "page")
+    return out.select("page", _listed(F.col("boxes")).alias("boxes"), "found_by")
+
+
+@_query
+def page_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = segments.by_page(fixtures.segments(spark, sf_dir), "doc_id")
+    return out.select("file", "page", "n_segments", F.array_join(F.transform("segments", lambda s: F.concat_ws(":", s.seg, s.doc_id)), " ").alias("segments"))
+
+
+@_query
+def page_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.page_contents(fixtures.pages(spark, sf_dir))
+
+
+@_query
+def key_value_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.augmented(spark, sf_dir).select("doc_id", text.key_values_json(F.col("text")).alias("keys"))
+
+
+@_query
+def fit_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey", "cast(p_partkey * 37 % 1900 + 1 as int) as w", "cast(p_partkey * 53 % 1300 + 1 as int) as h")
+    fit = raster.fitted(F.col("w"), F.col("h"))
+    return parts.select("p_partkey", fit.w.alias("fit_w"), fit.h.alias("fit_h"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

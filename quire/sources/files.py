@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any, Protocol
 
@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.text import language_of
 from quire.operators.raster import image_ink
 
 EXTENSIONS = (".pdf", ".png", ".jpg", ".jpeg")
@@ -79,30 +80,37 @@ def image_pages(spark: SparkSession, folder: str, recursive: bool = False) -> Da
     )
 
 
-def extract_pages(files: DataFrame, providers: Providers) -> DataFrame:
+def extract_pages(files: DataFrame, providers: Providers, languages: Mapping[str, Sequence[str]] | None = None, primary: str | None = None) -> DataFrame:
     """Pages of ``files`` (from ``list_files``): size, ink, text and boxes of each.
 
+    The text is read first; its language, if ``languages`` has the words to tell
+    it by, is the one that the boxes and their confidences are read in, else
+    ``primary``, else the providers' own.  One page's raster is held at a time.
+
     A PDF without pages gives one row with zeros; a file that can't be read gives
     one row with ``error`` and never fails the task.
     """
     from quire.operators.raster import grey, otsu
 
-    def images(name: str, content: bytes) -> list[np.ndarray]:
+    def images(name: str, content: bytes) -> Iterator[np.ndarray]:
         source = providers.pdf if name.lower().endswith(".pdf") else providers.image
         if source is None:
             raise RuntimeError(f"nothing is set up that reads {name}")
-        return list(source.pages(content)) if name.lower().endswith(".pdf") else [source.decode(content)]
+        if name.lower().endswith(".pdf"):
+            yield from source.pages(content)
+        else:
+            yield source.decode(content)
 
     def rows(folder: str, name: str, content: bytes) -> list[tuple]:
         try:
-            found = images(name, content)
-            if not found:
-                return [(folder, name, 1, 0, 0, 0.0, "", [], None)]
             out = []
-            for n, image in enumerate(found, 1):
+            for n, image in enumerate(images(name, content), 1):
                 text = providers.ocr.text(image, providers.mode, providers.lang) if providers.ocr else ""
-                boxes = providers.ocr.boxes(image, providers.mode, providers.lang) if providers.ocr else []
+                lang = language_of(text, languages, primary or providers.lang) if languages else primary or providers.lang
+                boxes = providers.ocr.boxes(image, providers.mode, lang) if providers.ocr else []
                 out.append((folder, name, n, image.shape[1], image.shape[0], otsu(grey(image))[1], text, [{"text": t, "conf": c} for t, c in boxes], None))
+            if not out:
+                return [(folder, name, 1, 0, 0, 0.0, "", [], None)]
             return out
         except Exception as e:  # whatever a provider raises becomes the file's error row
             return [(folder, name, None, 0, 0, 0.0, "", [], f"{type(e).__name__}: {e}")]
@@ -117,9 +125,12 @@ def extract_pages(files: DataFrame, providers: Providers) -> DataFrame:
     return files.select("folder", "file", "content").mapInPandas(run, PAGE_SCHEMA)
 
 
-def better_text(first: str, second: str, least: int = 30, gain: float = 1.5) -> str:
-    """The second reading if the first is short and the second longer by enough."""
-    return second if len(first) < least and len(second) > gain * len(first) else first
+def better_text(first: str, second: Callable[[], str], least: int = 30, gain: float = 1.5) -> str:
+    """The second reading, made only if the first is short, if it is longer by enough."""
+    if len(first) >= least:
+        return first
+    again = second()
+    return again if len(again) > gain * len(first) else first
 
 
 def explode_boxes(pages: DataFrame, lang: str = "eng") -> DataFrame:

@@ -106,9 +106,33 @@ def test_images(spark, tmp_path):
 
 
 def test_second_reading():
-    assert better_text("a" * 10, "b" * 16) == "b" * 16
-    assert better_text("a" * 10, "b" * 15) == "a" * 10
-    assert better_text("a" * 30, "b" * 99) == "a" * 30
+    assert better_text("a" * 10, lambda: "b" * 16) == "b" * 16
+    assert better_text("a" * 10, lambda: "b" * 15) == "a" * 10
+    assert better_text("a" * 30, lambda: pytest.fail("read again")) == "a" * 30
+
+
+class Tongues(Ocr):
+    def text(self, image, mode, lang):
+        return "identity card surname given name" if (image == 0).any() else "carta d'identita cognome nome"
+
+    def boxes(self, image, mode, lang):
+        return [("word", {"eng": "80", "ita": "60"}.get(lang, "10"))]
+
+
+def test_boxes_are_read_in_the_language_of_the_text(spark, folder):
+    from quire.config import Config
+
+    found = lambda **options: {(r.file, r.page): (r.language, r.confidence) for r in scan.scan_folder(spark, folder, Providers(Tongues(), Pdf(), lang="fra"), **options).collect() if r.file == "a.pdf"}
+    assert found() == {("a.pdf", "1"): ("eng", 80.0), ("a.pdf", "2"): ("ita", 60.0)}
+    assert set(found(auto_detect=False).values()) == {(Config.default().primary_language, {"eng": 80.0, "ita": 60.0}[Config.default().primary_language])}
+
+
+def test_language_of_one_text_is_that_of_the_column(spark):
+    from quire.functions.text import detect_language, language_of
+
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + ["", "Identity Card SURNAME", "carta d'identita name", "https://a.b/nome x", "nome"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r[0] for r in df.select(detect_language(F.col("text"))).collect()] == [language_of(t) for t in texts]
 
 
 def test_stream(spark, tmp_path):
