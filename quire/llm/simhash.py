@@ -8,7 +8,8 @@ and the cells one step away; two fingerprints at Manhattan distance two or less
 always meet in a cell.  Cells with a single tenant are dropped.  Among the
 tenants of the rest, links are verified exactly through the fingerprints one bit
 away that lie in that cell: two fingerprints differ in at most two bits if and
-only if they share such a fingerprint.  So a cell with many tenants costs work in
+only if they share such a fingerprint.  Tenants that meet under one are held to the
+Manhattan bound first and to the exact distance then.  So a cell with many tenants costs work in
 proportion to its tenants and never a list of all its pairs.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.graph import connected_components
-from quire.llm.runtime import cut, ready
+from quire.llm.runtime import cut, one_row_per_id, ready, unused
 
 SEGMENTS, WIDTH = 16, 4
 _CHUNK = 1 << 16
@@ -57,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, fp long").withColumnRenamed("id", id_col)
 
 
@@ -72,6 +73,11 @@ def cell_of(fp: Column) -> Column:
     return F.shiftleft(half(high), 32).bitwiseOR(half(low))
 
 
+def manhattan(a: str, b: str) -> Column:
+    """The distance of two cells, a lower bound of the number of differing bits of what is filed there."""
+    return F.expr(" + ".join(f"abs((shiftrightunsigned({a}, {WIDTH * i}) & 15) - (shiftrightunsigned({b}, {WIDTH * i}) & 15))" for i in range(SEGMENTS)))
+
+
 def _visits() -> Column:
     """Own cell and the cells one step along an axis, as ``cell``, ``segment`` (16: own) and ``up``."""
     places = [F.struct(F.col("cell"), F.lit(SEGMENTS).alias("segment"), F.lit(True).alias("up"))]
@@ -103,6 +109,7 @@ def links(points: DataFrame) -> DataFrame:
     bridges = cut(tenants.select("rep", "fp", _bridges().alias("bridge")).where("bridge is not null"))
     first = bridges.groupBy("bridge").agg(F.min(F.struct("rep", "fp")).alias("first"), F.count("*").alias("n")).where("n > 1")
     pairs = bridges.join(first.select("bridge", "first"), "bridge").where("rep <> first.rep")
+    pairs = pairs.withColumns({"here": cell_of(F.col("fp")), "there": cell_of(F.col("first.fp"))}).where(manhattan("here", "there") <= 2)
     return pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp"))) <= 2).select(F.col("rep").alias("a"), F.col("first.rep").alias("b")).distinct()
 
 
@@ -128,10 +135,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """Rows of ``docs`` whose document is the first, by id, of its group of near-duplicates.
 
-    Of rows with the same id one stays.  Rows with a null id can't be told apart
-    by the groups and all stay.
+    Of rows with the same id that with the smallest text counts and may stay
+    (``one_row_per_id``).  Rows with a null id can't be told apart by the groups
+    and all stay.
     """
-    groups = near_duplicates(docs, id_col, text_col, words)
-    first = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_first")).distinct()
-    kept = docs.join(first, F.col(f"`{id_col}`") == F.col("_first"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    ready(docs.sparkSession)
+    sound, (first,) = one_row_per_id(docs, id_col, text_col), unused(docs.columns, "first")
+    groups = near_duplicates(sound, id_col, text_col, words)
+    kept = groups.where(F.col(f"`{id_col}`") == F.col("component_id")).select(F.col(f"`{id_col}`").alias(first))
+    return sound.join(kept, F.col(f"`{id_col}`") == F.col(first), "left_semi").unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

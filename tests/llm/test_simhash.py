@@ -1,9 +1,12 @@
+import random
+
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quire.llm.graph import connected_components
-from quire.llm.simhash import cell_of, fingerprint, links, near_duplicates
+from quire.llm.simhash import cell_of, dedup, fingerprint, links, manhattan, near_duplicates
 
 
 def plain(text):
@@ -84,6 +87,22 @@ def test_odd_rows(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_dedup_keeps_a_defined_row(spark):
+    rows = [(3, "b b b b", "x"), (3, "a a a a", "y"), (4, "a a a a", "x"), (5, "b b b b", "x"), (6, None, "x"), (7, "", "x"), (None, "b b b b", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as _first", "2 as first", "3 as again")
+    for frame in (docs, docs.repartition(5), docs.coalesce(1)):
+        assert sorted((r.doc_id or 0, r.text or "", r.lang) for r in dedup(frame).collect()) == [(0, "b b b b", "x"), (3, "a a a a", "y"), (5, "b b b b", "x"), (6, "", "x")]
+
+
+def test_manhattan_distance_bounds_the_differing_bits(spark):
+    rng = random.Random(6)
+    pairs = [(p := rng.getrandbits(64), p ^ sum(1 << b for b in rng.sample(range(64), k % 6))) for k in range(200)]
+    df = spark.createDataFrame([(signed(a), signed(b)) for a, b in pairs], "a long, b long").select("*", cell_of(F.col("a")).alias("here"), cell_of(F.col("b")).alias("there"))
+    for (a, b), r in zip(pairs, df.select(manhattan("here", "there").alias("d")).collect()):
+        want = sum(abs((a >> 4 * i & 15).bit_count() - (b >> 4 * i & 15).bit_count()) for i in range(16))
+        assert r.d == want <= (a ^ b).bit_count()
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(3, 3), (None, 4), (100, 101)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
