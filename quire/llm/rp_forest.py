@@ -37,7 +37,7 @@ class ForestSpec:
     sample_leaf: int = 50  # sampled vectors in a node that is split, at least
     leaf: int = 2_048  # vectors of a label that are compared with each other without further splits
     seed: int = 17
-    dense: int = 1_024  # near copies, beyond which a group is compared apart
+    dense: int = 256  # near copies, beyond which a group is compared apart
     chunk: int = 4_096  # vectors of such a group that are compared with as many in one place
     group: float = 0.93  # least length of the mean of unit vectors in a large group of near copies
     reach: float = 0.9  # least cosine of a group's vectors with its centre
