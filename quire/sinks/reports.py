@@ -22,6 +22,17 @@ from quire.operators.report import report_rollup
 _STYLE = "body{font-family:sans-serif;max-width:1400px;margin:0 auto;padding:20px}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:4px 8px}.high{color:#060}.medium{color:#a60}.low,.error{color:#b00}pre{white-space:pre-wrap}"
 
 
+# Titles of the text report, by which its readers find their way.
+TITLES = (
+    "DOCUMENT READABILITY CHECK RESULTS",
+    "SUMMARY",
+    "DETAILED PAGE-WISE RESULTS",
+    "UNREADABLE PAGES (Action Required)",
+    "EMPTY PAGES (Possible Blank Pages)",
+    "END OF REPORT",
+)
+
+
 def _ordered(rows: DataFrame) -> Iterator[Any]:
     shown = rows.withColumns({"band": confidence_band(F.col("confidence")), "escaped": html_escape(F.col("text")), "short": preview(F.col("text"))})
     return shown.orderBy("folder", "file", F.col("page").try_cast("int"), "page").toLocalIterator()
@@ -68,14 +79,14 @@ def write_text(rows: DataFrame, path: str, scanned: str, readable_from: float, e
     whole, files = totals.get(("all", None, None)), sum(level == "file" for level, _, _ in totals)
     rule = "-" * 100 + "\n"
     with open(path, "w", encoding="utf-8") as f:
-        f.write("=" * 100 + "\nDOCUMENT READABILITY CHECK RESULTS\n" + "=" * 100 + "\n\n")
+        f.write("=" * 100 + f"\n{TITLES[0]}\n" + "=" * 100 + "\n\n")
         f.write(f"Folder Scanned: {scanned}\nReadability Threshold: {readable_from}%\nEmptiness Threshold: {empty_below}%\nFiles Processed: {files}\n")
-        f.write(f"Total Pages: {whole.total if whole else 0}\nExecution Time: {seconds:.2f} seconds\nTimestamp: {datetime.now():%Y-%m-%d %H:%M:%S}\n\n{rule}\nSUMMARY\n")
+        f.write(f"Total Pages: {whole.total if whole else 0}\nExecution Time: {seconds:.2f} seconds\nTimestamp: {datetime.now():%Y-%m-%d %H:%M:%S}\n\n{rule}\n{TITLES[1]}\n")
         if whole:
             for name, n, share in (("Readable", whole.readable, whole.readable_percent), ("Unreadable", whole.unreadable, whole.unreadable_percent), ("Empty", whole.empty, whole.empty_percent)):
                 f.write(f"  {name} Pages: {n} ({share:.1f}%)\n")
             f.write(f"  Average Confidence: {whole.avg_confidence:.2f}\n")
-        f.write(f"\n{rule}\nDETAILED PAGE-WISE RESULTS\n")
+        f.write(f"\n{rule}\n{TITLES[2]}\n")
         for folder, in_folder in groupby(_ordered(rows), key=lambda r: r.folder):
             f.write(f"\nFOLDER: {folder}\n")
             for file, pages in groupby(in_folder, key=lambda r: r.file):
@@ -86,13 +97,13 @@ def write_text(rows: DataFrame, path: str, scanned: str, readable_from: float, e
                         f.write(f"     ERROR (Page {r.page}): {r.error}\n")
                     else:
                         f.write(f"     {r.page:<6} {'Yes' if r.empty else 'No':<8} {'Yes' if r.readable else 'No':<10} {r.confidence:<14.2f} {r.ink_percent:<10.2f} {(r.language or 'eng')[:3].upper():<6} {r.short}\n")
-        for title, some in (("UNREADABLE PAGES (Action Required)", rows.where(~F.col("readable"))), ("EMPTY PAGES (Possible Blank Pages)", rows.where("empty"))):
+        for title, some in ((TITLES[3], rows.where(~F.col("readable"))), (TITLES[4], rows.where("empty"))):
             shown = False
             for r in _ordered(some):
                 f.write("" if shown else f"\n{rule}{title}\n")
                 shown = True
                 f.write(f"  {r.folder}/{r.file} (Page {r.page}): confidence {r.confidence:.2f}%, ink {r.ink_percent:.2f}%" + (f", error: {r.error}" if r.error else "") + "\n")
-        f.write("\n" + "=" * 100 + "\nEND OF REPORT\n")
+        f.write(f"\n{'=' * 100}\n{TITLES[5]}\n")
 
 
 def report_path(folder: str, kind: str = "html", now: datetime | None = None) -> str:
