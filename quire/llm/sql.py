@@ -122,20 +122,30 @@ WITH lines AS (
 ), firsts AS (
   SELECT line, doc_id, line_no, length(line) AS n FROM lines WHERE length(line) >= 20
   QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, line_no) = 1
-), halves AS (
-  SELECT *, left(line, CAST(n // 2 AS INT)) AS head, right(line, CAST(n - n // 2 AS INT)) AS tail FROM firsts
-), longer AS (
-  SELECT f.line, f.doc_id, f.line_no, f.n, m, left(f.line, CAST(m // 2 AS INT)) AS head, right(f.line, CAST(m - m // 2 AS INT)) AS tail
-  FROM firsts f, (VALUES (0), (1)) v(d), LATERAL (SELECT f.n - d AS m) x
+), thirds AS (
+  SELECT *, CASE WHEN n >= 100 THEN 2 ELSE 1 END AS k, n // 3 AS t FROM firsts
+), filed AS (
+  SELECT line, doc_id, line_no, n, k, n AS size, 0 AS part, left(line, CAST(t AS INT)) AS piece FROM thirds
+  UNION ALL SELECT line, doc_id, line_no, n, k, n, 1, substr(line, CAST(t + 1 AS INT), CAST(n - 2 * t AS INT)) FROM thirds
+  UNION ALL SELECT line, doc_id, line_no, n, k, n, 2, right(line, CAST(t AS INT)) FROM thirds
+), sought AS (
+  SELECT f.line, f.doc_id, f.line_no, f.n, f.n - d AS size, (f.n - d) // 3 AS t FROM firsts f, (VALUES (0), (1), (2)) v(d)
+), probes AS (
+  SELECT line, doc_id, line_no, n, size, 0 AS part, left(line, CAST(t AS INT)) AS piece FROM sought
+  UNION ALL SELECT line, doc_id, line_no, n, size, 1, substr(line, CAST(t + 1 + o AS INT), CAST(size - 2 * t AS INT)) FROM sought, (VALUES (-2), (-1), (0), (1), (2)) w(o)
+  UNION ALL SELECT line, doc_id, line_no, n, size, 2, right(line, CAST(t AS INT)) FROM sought
 ), pairs AS (
-  SELECT a.line AS a, b.line AS b, a.n AS na, b.n AS nb, a.doc_id AS da, a.line_no AS la, b.doc_id AS db, b.line_no AS lb FROM halves a JOIN longer b ON a.n = b.m AND a.head = b.head AND a.line <> b.line
-  UNION
-  SELECT a.line, b.line, a.n, b.n, a.doc_id, a.line_no, b.doc_id, b.line_no FROM halves a JOIN longer b ON a.n = b.m AND a.tail = b.tail AND a.line <> b.line
-), differ AS (
-  SELECT *, coalesce(list_filter(range(1, na + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1))[1], na + 1) AS spot FROM pairs
+  SELECT DISTINCT a.line AS a, b.line AS b, a.k, a.doc_id AS da, a.line_no AS la, b.doc_id AS db, b.line_no AS lb
+  FROM filed a JOIN probes b ON a.size = b.size AND a.part = b.part AND a.piece = b.piece AND a.line <> b.line
+), spots AS (
+  SELECT *, coalesce(list_filter(range(1, length(a) + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1))[1], length(a) + 1) AS spot FROM pairs
+), mended AS (
+  SELECT k, da, la, db, lb, a, b, substr(a, CAST(spot + x AS INT)) AS p, substr(b, CAST(spot + y AS INT)) AS q FROM spots, (VALUES (1, 1), (0, 1), (1, 0)) m(x, y)
+), again AS (
+  SELECT *, coalesce(list_filter(range(1, length(p) + 1), lambda i: substr(p, i, 1) <> substr(q, i, 1))[1], length(p) + 1) AS spot FROM mended
 ), near AS (
-  SELECT DISTINCT CASE WHEN (da, la) < (db, lb) THEN b ELSE a END AS line FROM differ
-  WHERE (na = nb AND substr(a, spot + 1) = substr(b, spot + 1)) OR (nb = na + 1 AND substr(a, spot) = substr(b, spot + 1))
+  SELECT DISTINCT CASE WHEN (da, la) < (db, lb) THEN b ELSE a END AS line FROM again, (VALUES (1, 1), (0, 1), (1, 0)) m(x, y)
+  WHERE p = q OR (k = 2 AND substr(p, CAST(spot + x AS INT)) = substr(q, CAST(spot + y AS INT)))
 ), marked AS (
   SELECT l.doc_id, l.line_no, l.line,
     length(l.line) < 20 OR (f.doc_id = l.doc_id AND f.line_no = l.line_no AND l.line NOT IN (SELECT line FROM near)) AS stays
