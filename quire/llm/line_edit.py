@@ -85,11 +85,23 @@ def within_edits(a: str, b: str, max_edits: int) -> Column:
 
     For each number of edits up to the limit, bit ``d`` says that the diagonal
     ``d - max_edits`` has been reached with no more than that many edits after the
-    characters of ``b`` read so far; all diagonals advance at once.
+    characters of ``b`` read so far; all diagonals advance at once.  What both
+    begin and end with is taken off first, by halving steps.
     """
     k, width = max_edits, 2 * max_edits + 1
     field = (1 << width) - 1
-    sides = f"named_struct('a', encode({a}, 'UTF-32'), 'b', encode({b}, 'UTF-32'))"
+    sides = f"array(named_struct('a', encode({a}, 'UTF-32'), 'b', encode({b}, 'UTF-32')))"
+    shorter, hop = "least(length(s.a), length(s.b))", "shiftleft(1, e)"
+
+    def shared(piece: str) -> str:
+        steps = f"sequence(1 + cast(log2(greatest(1, {shorter} div 4)) as int), 0, -1)"
+        same = f"{piece.format('s.a')} = {piece.format('s.b')}"
+        return f"aggregate({steps}, 0, (p, e) -> if(4 * (p + {hop}) <= {shorter} and {same}, p + {hop}, p))"
+
+    head, tail = shared(f"substring({{0}}, 4 * p + 1, 4 * {hop})"), shared(f"substring({{0}}, length({{0}}) - 4 * (p + {hop}) + 1, 4 * {hop})")
+    for n, left in ((head, "substring(s.{0}, 4 * s.n + 1, length(s.{0}))"), (tail, "substring(s.{0}, 1, length(s.{0}) - 4 * s.n)")):
+        sides = f"transform({sides}, s -> named_struct('a', s.a, 'b', s.b, 'n', {n}))"
+        sides = f"transform({sides}, s -> named_struct('a', {left.format('a')}, 'b', {left.format('b')}))"
     start = sum(sum(1 << (d + k) for d in range(e + 1)) << (width * e) for e in range(k + 1))
 
     def letter(side: str, at: str) -> str:
@@ -109,7 +121,7 @@ def within_edits(a: str, b: str, max_edits: int) -> Column:
         chain = f"aggregate(array({chain}), {step.replace('x.m', '0L').replace('x.r', '0L')}, (z, x) -> {level})"
     walk = f"aggregate(sequence(1, cast(length(s.b) div 4 as int)), {start}L, (r, j) -> {chain}.n)"
     reached = f"shiftright(if(length(s.b) = 0, {start}L, {walk}), cast({width * k} + {k} + (length(s.a) - length(s.b)) div 4 as int)) & 1L"
-    near = f"aggregate(array({sides}), false, (z, s) -> abs(length(s.a) - length(s.b)) <= {4 * k} and ({reached}) = 1L)"
+    near = f"aggregate({sides}, false, (z, s) -> abs(length(s.a) - length(s.b)) <= {4 * k} and ({reached}) = 1L)"
     return F.expr(near)
 
 
