@@ -26,7 +26,7 @@ BROADCAST_ROWS = 100_000
 FEW = 16
 #: Edits allowed by the length, in characters, of the shorter of two lines.
 Classes = tuple[tuple[int, int], ...]
-EDITS: Classes = ((0, 1), (100, 2))
+EDITS: Classes = ((0, 1),)
 
 
 def edit_classes(max_edits: int | Classes) -> Classes:
