@@ -21,7 +21,10 @@ MARGINS = ("source", "lang", "topic")
 #: A margin's targets: the exponent that its shares of the corpus are flattened by.
 TARGETS: Mapping[str, float | Mapping[str, float]] = {"source": 0.5, "lang": 0.6, "topic": 0.8}
 ROUNDS, ROUNDS_PER_CUT, BUDGET_STEPS, BUDGET, SEED = 12, 4, 16, 0.5, 20
-#: Cells are sent to every task up to this number, and joined by a shuffle beyond it.
+#: Raking ends before its last round once every margin's sums are this close to their targets, as a part of each target.
+CLOSE = 1e-12
+#: Cells are sent to every task, and those of a margin's value summed in one, up to this number; beyond it they are
+#: joined by a shuffle and summed in parts.
 BROADCAST_CELLS = 100_000
 
 
@@ -58,18 +61,22 @@ def _margin_targets(cells: DataFrame, margin: str, target: float | Mapping[str,
     return sums.join(F.broadcast(total)).select(margin, F.when(F.col("total") > 0, F.col("want") / F.col("total")).otherwise(0.0).alias(f"want_{margin}"))  # one row
 
 
-def rake(cells: DataFrame, margins: tuple[str, ...] = MARGINS, targets: Mapping = TARGETS, rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, margins: tuple[str, ...] = MARGINS, targets: Mapping = TARGETS, rounds: int = ROUNDS, few: int = BROADCAST_CELLS) -> DataFrame:
     """Adds ``weight``: the cells' token weights, summing to one, fitted to the margins' targets.
 
     ``cells`` has a row for each combination of the margins, with ``tokens``.  A
-    value whose cells weigh nothing stays at nothing.  What is shuffled are cells,
-    sums of documents, so a source with many documents is one row for each of its
-    languages and topics.
+    value whose cells weigh nothing stays at nothing.  Up to ``few`` cells are
+    summed by windows, which need no step of their own; more are summed in parts
+    before they move, so that no task holds all cells of a topic.  Ends after
+    ``rounds`` rounds; the sums in parts end sooner once all margins fit.
     """
     total = cells.agg(F.sum("tokens").cast("double").alias("all_tokens"))
     state = cells.join(F.broadcast(total)).withColumn("weight", F.when(F.col("all_tokens") > 0, F.col("tokens") / F.col("all_tokens")).otherwise(0.0))  # one row
+    wanted = {m: _margin_targets(cells, m, targets[m]) for m in margins}
+    if cells.count() > few:
+        return _rake_in_parts(cut(state), wanted, rounds)
     for m in margins:
-        state = state.join(_margin_targets(cells, m, targets[m]), m)
+        state = state.join(wanted[m], m)
     state = cut(state)
     for i in range(1, rounds + 1):
         for m in margins:
@@ -80,6 +87,24 @@ def rake(cells: DataFrame, margins: tuple[str, ...] = MARGINS, targets: Mapping
     return state
 
 
+def _rake_in_parts(state: DataFrame, wanted: dict[str, DataFrame], rounds: int) -> DataFrame:
+    """The same rounds by grouped sums; a margin's factors go to every task while it has few values."""
+    wanted = {m: small(cut(target), BROADCAST_CELLS) for m, target in wanted.items()}
+    for _ in range(rounds):
+        misfit = 0.0
+        for m, target in wanted.items():
+            sums = state.groupBy(m).agg(F.sum("weight").alias("now")).join(target, m)
+            factors = cut(sums.select(m, F.when(F.col("now") > 0, F.col(f"want_{m}") / F.col("now")).otherwise(0.0).alias("factor")))
+            values, off = factors.agg(F.count("*"), F.max(F.abs(F.col("factor") - 1))).first()
+            misfit = max(misfit, off or 0.0)
+            factors = F.broadcast(factors) if values <= BROADCAST_CELLS else factors
+            state = state.join(factors, m).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+        state = cut(state)
+        if misfit <= CLOSE:
+            break
+    return state
+
+
 def calibrate(state: DataFrame, budget: float = BUDGET, steps: int = BUDGET_STEPS) -> DataFrame:
     """Adds ``probability``: rates scaled so that ``budget`` of all tokens is expected, none above one.
 

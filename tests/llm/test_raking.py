@@ -15,6 +15,14 @@ def test_margins_meet_their_targets(spark):
             assert sum(r.weight for r in rows if r[margin] == value) == pytest.approx(share, abs=2e-3)
 
 
+def test_sums_in_parts_give_the_same_weights(spark):
+    cells = [(f"s{i % 5}", "xyz"[i // 5 % 3], "pq"[i // 15], i * 7 % 11 * (i != 9)) for i in range(30)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    targets = {"source": 0.5, "lang": {"x": 0.5, "y": 0.5}, "topic": 0.8}
+    whole, parts = ({(r.source, r.lang, r.topic): r.weight for r in rake(df, targets=targets, rounds=3, few=few).collect()} for few in (30, 29))
+    assert len(whole) == 30 and parts == pytest.approx(whole, rel=1e-9)
+
+
 def test_budget_is_met_in_expectation(spark):
     df = spark.createDataFrame([("a", 1000, 0.1), ("b", 10, 0.5), ("c", 500, 0.4)], "source string, tokens long, weight double").selectExpr("*", "1510D as all_tokens")
     rows = calibrate(df, 0.5).collect()
