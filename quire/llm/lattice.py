@@ -10,8 +10,8 @@ score among those that join two present symbols, until none is left.
 
 The dictionary of frequent units has a bound and is sent to every task, where it
 answers nearly all units of the texts; the long tail, which no bounded dictionary
-can hold and whose join would move several times the corpus, goes through the same
-fold where it stands.
+can hold and whose join would move several times the corpus, is encoded in the task
+that holds the text, by plain merges or Viterbi in Python that agree with the fold.
 """
 
 from __future__ import annotations
