@@ -11,6 +11,11 @@ away that lie in that cell: two fingerprints differ in at most two bits if and
 only if they share such a fingerprint.  Tenants that meet under one are held to the
 Manhattan bound first and to the exact distance then.  So a cell with many tenants costs work in
 proportion to its tenants and never a list of all its pairs.
+
+Farther radii (``near_pairs``) take the same steps block by block: of eight
+differing bits two at most lie in one of three blocks of segments, and there the
+two fingerprints share a fingerprint one bit away.  What meets is held to the
+Manhattan bound of all segments and then to the exact distance.
 """
 
 from __future__ import annotations
@@ -29,6 +34,13 @@ from quire.llm.runtime import cut, one_row_per_id, ready, unused
 
 SEGMENTS, WIDTH = 16, 4
 _CHUNK = 1 << 16
+#: Blocks of segments, from the lowest on; two differing bits each, and one less in all, are the radius of ``near_pairs``.
+BLOCKS = (5, 5, 6)
+RADIUS = 3 * len(BLOCKS) - 1
+#: Bits of a block that tell the task in which its tenants meet.
+HIGH = 8
+#: Tenants after it that a tenant is compared with under one bridge, and near ones it is given there.
+COMPARED, GIVEN = 1_000, 4
 
 
 def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
@@ -37,7 +49,11 @@ def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
     if not tokens:
         return 0
     grams = [b" ".join(tokens)] if len(tokens) < words else map(b" ".join, zip(*[tokens[i:] for i in range(words)], strict=False))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), np.uint64)
+    return vote(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), np.uint64))
+
+
+def vote(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _CHUNK):
         part = hashes[at : at + _CHUNK].astype("<u8")
@@ -113,6 +129,63 @@ def links(points: DataFrame) -> DataFrame:
     return pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp"))) <= 2).select(F.col("rep").alias("a"), F.col("first.rep").alias("b")).distinct()
 
 
+def bit_counts(fps: np.ndarray) -> np.ndarray:
+    """The bit counts of the 16 segments of each fingerprint, from the lowest on."""
+    parts = fps.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return np.stack([np.bitwise_count(parts & 15), np.bitwise_count(parts >> 4)], axis=2).reshape(-1, SEGMENTS).astype(np.int8)
+
+
+def _places() -> list[tuple[int, int, int]]:
+    """For each block its first bit, its bits that stay in a task, and its first key."""
+    starts = np.cumsum([0, *BLOCKS]) * WIDTH
+    return [(int(at), WIDTH * size - HIGH, i << HIGH) for i, (at, size) in enumerate(zip(starts, BLOCKS, strict=False))]
+
+
+def _meet(table: pa.Table, up: int, down: int) -> pa.Table:
+    """Of the tenants under one key the pairs that share a bridge and lie within the radius."""
+    key = table.column("key")[0].as_py()
+    at, low, _ = _places()[key >> HIGH]
+    n, rep, fp = (table.column(c).to_numpy() for c in ("n", "rep", "fp"))
+    order = np.lexsort((rep, n))
+    n, rep, fp = n[order].astype(np.int64), rep[order], fp[order].view(np.uint64)
+    kept = ((fp >> np.uint64(at)) & np.uint64((1 << low) - 1)).astype(np.uint16)
+    own = np.nonzero((fp >> np.uint64(at + low)) & np.uint64((1 << HIGH) - 1) == key & ((1 << HIGH) - 1))[0]
+    rows = np.concatenate([np.arange(len(fp)), *[own] * low])
+    bridges = np.concatenate([kept, *[kept[own] ^ np.uint16(1 << i) for i in range(low)]])
+    order = np.lexsort((rows, bridges))
+    rows, bridges, counts = rows[order], bridges[order], bit_counts(fp)
+    left, given, out = np.arange(len(rows)), np.zeros(len(rows), np.int8), []
+    for k in range(1, COMPARED + 1):
+        left = left[left + k < len(rows)]
+        left = left[(bridges[left] == bridges[left + k]) & (given[left] < GIVEN)]
+        i, j = rows[left], rows[left + k]
+        left = left[near_size := down * n[i] >= up * n[j]]  # n ascends, so what is too long now stays so
+        if not len(left):
+            break
+        i, j = i[near_size], j[near_size]
+        bound = np.nonzero(np.abs(counts[i] - counts[j]).sum(axis=1, dtype=np.int64) <= RADIUS)[0]
+        near = bound[np.bitwise_count(fp[i[bound]] ^ fp[j[bound]]) <= RADIUS]
+        given[left[near]] += 1
+        out.append(np.stack([rep[i[near]], rep[j[near]]]))
+    found = np.unique(np.sort(np.concatenate([np.zeros((2, 0), np.int64), *out], axis=1), axis=0), axis=1)
+    return pa.table({"a": found[0], "b": found[1]})
+
+
+def near_pairs(points: DataFrame, up: int = 0, down: int = 1) -> DataFrame:
+    """Pairs ``a`` < ``b`` of ``points`` (``rep`` long, ``fp`` long, ``n`` int) within ``RADIUS`` bits, whose smaller ``n`` is ``up / down`` of the other or more.
+
+    Under one bridge a tenant is compared with at most ``COMPARED`` others, by
+    ``n``, and given ``GIVEN`` near ones, so that a crowd of near copies never lists
+    all its pairs; whoever needs every link has to look for the rest.
+    """
+    keys = []
+    for at, low, first in _places():
+        mine = F.shiftrightunsigned("fp", at + low).bitwiseAND(F.lit((1 << HIGH) - 1)).cast("int")
+        keys += [mine.bitwiseXOR(F.lit(flip)) + F.lit(first) for flip in (0, *[1 << i for i in range(HIGH)])]
+    filed = points.select(F.explode(F.array(*keys)).alias("key"), "rep", "fp", "n")
+    return filed.groupBy("key").applyInArrow(lambda table: _meet(table, up, down), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """Groups documents whose fingerprints are linked by two or fewer differing bits.
 

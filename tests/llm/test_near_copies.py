@@ -4,7 +4,7 @@ import pytest
 from test_simhash import groups
 
 import corpus_pipeline as cp
-from quire.llm import near_copies
+from quire.llm import near_copies, simhash
 
 
 def shingles(text):
@@ -45,6 +45,22 @@ def test_stage_keeps_what_brute_force_jaccard_keeps(spark, few, chunk):
         assert {r.doc_id for r in cp.simhash_dedup(spark, docs, "").collect()} == want
 
 
+def test_simhash_alone_finds_copies_within_its_radius_and_the_rest_is_found_exactly(spark, monkeypatch):
+    texts = dict(enumerate(made(5, 40, 3, 120).values()))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = {i: shingles(t) for i, t in texts.items()}
+    fps = {i: simhash.fingerprint(t.encode(), 5) for i, t in texts.items()}
+    like = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    root = groups(sorted(texts), lambda a, b: like(a, b) and bin(fps[a] ^ fps[b]).count("1") <= simhash.RADIUS)
+    within, tenants, pairs = {i for i in root if root[i] == i}, near_copies._tenants, near_copies.simhash_pairs
+    assert firsts(texts) < within < set(texts)
+    monkeypatch.setattr(near_copies, "_tenants", lambda *args: tenants(*args).limit(0))
+    assert {r.doc_id for r in cp.simhash_dedup(spark, docs, "").collect()} == within
+    monkeypatch.setattr(near_copies, "_tenants", tenants)
+    monkeypatch.setattr(near_copies, "simhash_pairs", lambda classes: pairs(classes).limit(0))
+    assert {r.doc_id for r in cp.simhash_dedup(spark, docs, "").collect()} == firsts(texts)
+
+
 def test_stage_on_shared_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = firsts({r.doc_id: r.text for r in docs.select("doc_id", "text").collect()})

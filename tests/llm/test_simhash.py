@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quire.llm import simhash
 from quire.llm.graph import connected_components
 from quire.llm.simhash import cell_of, dedup, fingerprint, links, manhattan, near_duplicates
 
@@ -108,3 +109,23 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 160), 100)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_pairs_are_all_pairs_within_the_radius(spark):
+    rng, points = random.Random(7), {0, (1 << 64) - 1, 0xFF, 1 << 63}
+    for k in range(300):
+        points.add(at := rng.getrandbits(64))
+        points.add(at ^ sum(1 << b for b in rng.sample(range(64), 1 + k % 12)))
+    rows = [(i, signed(p), 100 + i % 40) for i, p in enumerate(sorted(points))] + [(900, 0, 100), (901, 0, 10)]
+    near = lambda a, b: ((a[1] ^ b[1]) & (1 << 64) - 1).bit_count() <= 8 and 5 * min(a[2], b[2]) >= 4 * max(a[2], b[2])
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and near(a, b)}
+    df = spark.createDataFrame(rows, "rep long, fp long, n int")
+    assert {tuple(r) for r in simhash.near_pairs(df, 4, 5).collect()} == want and len(want) > 150
+    assert simhash.near_pairs(df.limit(0)).count() == 0
+
+
+def test_near_pairs_of_a_crowd_are_few_and_connect_it(spark):
+    df = spark.range(3000).selectExpr("id as rep", "id & 7 as fp", "cast(50 as int) as n")
+    found = simhash.near_pairs(df, 4, 5)
+    assert found.count() < 3000 * 67 * simhash.GIVEN
+    assert {r.component for r in connected_components(found).collect()} == {0}
