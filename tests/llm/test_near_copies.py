@@ -4,7 +4,7 @@ import pytest
 from test_simhash import groups
 
 import corpus_pipeline as cp
-from quire.llm import near_copies, simhash
+from quire.llm import graph, near_copies, simhash
 
 
 def shingles(text):
@@ -67,6 +67,32 @@ def test_stage_on_shared_documents(spark):
     assert {r.doc_id for r in cp.simhash_dedup(spark, docs, "").collect()} == want
 
 
+def test_few_links_are_labelled_without_rounds_of_joins(spark, monkeypatch):
+    texts = dict(enumerate(made(6, 40, 4, 60).values()))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    mark, marks = graph._mark, []
+    monkeypatch.setattr(graph, "_mark", lambda star: marks.append(1) or mark(star))
+    assert {r.doc_id for r in near_copies.dedup(docs).collect()} == firsts(texts)
+    assert 1 <= len(marks) <= 3  # one for each search of components; each round takes another
+    monkeypatch.setattr(near_copies, "DRIVER_LINKS", 0)
+    assert {r.doc_id for r in near_copies.dedup(docs).collect()} == firsts(texts)
+    assert len(marks) > 6
+
+
+def test_components_of_few_links_are_those_of_the_rounds(spark):
+    rng = random.Random(7)
+    pairs = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(250)]
+    pairs += [(i, i + 1) for i in range(10**15, 10**15 + 200)] + [(2**63 - 1, -(2**63)), (5, 5), (None, 7), (8, None), *pairs[:20]]
+    rng.shuffle(pairs)
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    want = sorted(map(tuple, graph.connected_components(edges).collect()))
+    n = len({(min(p), max(p)) for p in pairs if None not in p and p[0] != p[1]})
+    for few in (n - 1, n):
+        assert sorted(map(tuple, graph.connected_components(edges, few=few).collect())) == want
+    assert graph.connected_components(edges.limit(0), few=n).columns == ["node", "component"]
+    assert graph.connected_components(edges.where("a = b"), few=n).count() == 0
+
+
 def test_odd_rows(spark):
     rows = [(5, None, "x"), (4, "", "y"), (7, "a b c d", "z"), (7, "a b c d", "z"), (9, "A b  c d", "z"), (None, "a b c d", "z"), (8, "w " * 200_000, "q")]
     rows += [(6, "of two texts the smaller one counts", "t"), (6, "but the larger one goes", "t"), (3, "but the larger one goes", "t")]
