@@ -134,23 +134,26 @@ def segment_cascade(pages: DataFrame, candidates: DataFrame, by_row: DataFrame,
 
     Contours come first; a page without a document-sized one is parted at the
     widest gap between its rows, then between its columns (profiles: ``pos``,
-    ``ink``); failing that it is one box.
+    ``ink``); failing that it is one box.  What is joined grows with the pages, so
+    none of it is broadcast.
     """
     from quire.operators.raster import projection_split
 
-    def halves(profile: DataFrame, name: str, across: bool) -> DataFrame:
-        found = projection_split(profile, *keys)
-
+    def halves(name: str, across: bool) -> Column:
         def box(part: Column) -> Column:
             sides = ("start", None, "size", None) if across else (None, "start", None, "size")
             whole = {0: F.lit(0), 1: F.lit(0), 2: F.col("page_w"), 3: F.col("page_h")}
             return F.struct(*[(part[s] if s else whole[i]).cast("int").alias(n) for i, (n, s) in enumerate(zip("xywh", sides, strict=True))])
 
-        sized = found.join(pages.select(*keys, "page_w", "page_h"), list(keys))
-        return sized.select(*keys, F.array_compact(F.array(*[F.when(F.col(p).isNotNull(), box(F.col(p))) for p in ("first", "second")])).alias(name))
+        parts = [F.col(f"{name}.{p}") for p in ("first", "second")]
+        return F.array_compact(F.array(*[F.when(p.isNotNull(), box(p)) for p in parts]))
+
+    def parted(profile: DataFrame, name: str) -> DataFrame:
+        return projection_split(profile, *keys).select(*keys, F.struct("first", "second").alias(name)).hint("merge")
 
-    out = pages.join(segment_boxes(candidates, config, *keys).select(*keys, F.col("boxes").alias("contours")), list(keys), "left")
-    out = out.join(halves(by_row, "rows", False), list(keys), "left").join(halves(by_column, "columns", True), list(keys), "left")
+    out = pages.join(segment_boxes(candidates, config, *keys).select(*keys, F.col("boxes").alias("contours")).hint("merge"), list(keys), "left")
+    out = out.join(parted(by_row, "_rows"), list(keys), "left").join(parted(by_column, "_columns"), list(keys), "left")
+    out = out.withColumns({"rows": halves("_rows", False), "columns": halves("_columns", True)})
     whole = F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("page_w").cast("int").alias("w"), F.col("page_h").cast("int").alias("h"))
     found_by = F.coalesce(*[F.when(F.size(n) > 0, F.lit(n)) for n in ("contours", "rows", "columns")], F.lit("page"))
     return out.select(*keys, choose_segments(F.col("contours"), F.col("rows"), F.col("columns"), whole=whole).alias("boxes"), found_by.alias("found_by"))

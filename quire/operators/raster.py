@@ -81,11 +81,13 @@ def projection_split(profile: DataFrame, *keys: str, at: str = "pos", ink: str =
     low; the longest run of them, the earliest among equals, is a gap if it spans
     three positions and three hundredths of the page.  Returns ``split``,
     ``first`` and ``second`` (start and size; null if ten positions or fewer) of
-    the pages that have one.
+    the pages that have one.  One shuffle by page, none if the rows of a page lie
+    together; no join, since a profile may be far larger than its estimate and
+    must never be broadcast.
     """
-    size = profile.groupBy(*keys).agg((F.max(at) + 1).alias("size"), F.max(ink).alias("most"))
-    low = profile.join(size, list(keys)).where((F.col("most") > 0) & (F.col(ink) < F.greatest(F.lit(5), F.floor(F.col("most") * 0.05))))
-    order = Window.partitionBy(*keys).orderBy(at)
+    page, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(at)
+    sized = profile.withColumns({"size": F.max(at).over(page) + 1, "most": F.max(ink).over(page)})
+    low = sized.where((F.col("most") > 0) & (F.col(ink) < F.greatest(F.lit(5), F.floor(F.col("most") * 0.05))))
     runs = low.withColumn("run", F.col(at) - F.row_number().over(order)).groupBy(*keys, "run", "size").agg(F.count("*").alias("length"), F.min(at).alias("start"))
     best = runs.groupBy(*keys, "size").agg(F.max(F.struct("length", (-F.col("start")).alias("order"))).alias("gap"))
     best = best.where(F.col("gap.length") >= F.greatest(F.lit(3), F.floor(F.col("size") * 0.03)))

@@ -141,3 +141,22 @@ def test_drawing():
     out = draw_boxes(np.zeros((20, 20), np.uint8), [(2, 3, 10, 8)], width=1)
     assert out.shape == (20, 20, 3) and tuple(out[3, 5]) == (255, 0, 0) and not out[5, 5].any()
     assert segment_names([{"doc_type": "a", "doc_side": "b", "confidence": 61.25}, {}]) == ["a - b (61.2%)", "Document 2"]
+
+
+def nodes(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_profiles_are_never_joined(spark):
+    """Their rows come out of few: Spark takes them for small, and a broadcast of them would go through the driver."""
+    few = spark.range(3).select((F.col("id") * 7).alias("page"))
+    for pages, shuffles in ((few, 1), (few.repartition(4, "page"), 1)):
+        profile = pages.select("page", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("pos")).withColumn("ink", F.col("pos") % 9)
+        plan = nodes(raster.projection_split(profile, "page"))
+        assert "Join" not in plan and plan.count("Exchange hashpartitioning") == shuffles
+
+
+def test_cascade_broadcasts_nothing(spark, data):
+    from quire.queries import queries
+
+    assert "Broadcast" not in nodes(queries()["segment_cascade"](spark, data))
