@@ -35,6 +35,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def by_page(df: DataFrame) -> DataFrame:
+    """Dealt by page over all cores at least, before a page becomes many rows, so that these lie together and need no shuffle."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "page")
+
+
 def augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id``, ``text``, ``source`` and page keys of every document, and of further rows with texts of edge cases.
 
@@ -100,7 +106,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def profiles(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
     """An ink profile for each customer, with a gap whose place and width the number, moved by ``shift``, decides."""
-    base = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("page"), (F.col("c_custkey") + shift).alias("n"), F.expr(f"cast(60 + (c_custkey + {shift}) % 60 as int)").alias("size"))
+    base = by_page(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("page"))).select("page", (F.col("page") + shift).alias("n"), F.expr(f"cast(60 + (page + {shift}) % 60 as int)").alias("size"))
     rows = base.select("page", "n", "size", F.explode(F.expr("sequence(0, size - 1)")).alias("pos"))
     ink = "case when n % 17 = 0 then 0 when pos >= n % size and pos < n % size + n % 9 then pos % 4 when pos % 31 = 0 then 1 else 20 + (pos * 7 + n) % 30 end"
     return rows.selectExpr("page", "pos", f"cast({ink} as int) as ink")

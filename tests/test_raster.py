@@ -160,3 +160,12 @@ def test_cascade_broadcasts_nothing(spark, data):
     from quire.queries import queries
 
     assert "Broadcast" not in nodes(queries()["segment_cascade"](spark, data))
+
+
+@pytest.mark.parametrize("shift", [0, 5])
+def test_profiles_are_made_over_all_cores(spark, data, shift):
+    from quire.plans import fixtures
+
+    rows = fixtures.profiles(spark, data, shift)
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert rows.select("page", F.spark_partition_id().alias("p")).distinct().groupBy("page").count().where("count > 1").count() == 0
