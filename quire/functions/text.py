@@ -7,8 +7,10 @@ texts behave like empty ones unless a function says otherwise.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from re import _constants as ops
+from re import _parser as parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +20,10 @@ from quire import fixed_values as fixed
 #: Characters that count as white space at the ends of a text and between words.
 _WS = r"[\s\x1c-\x1f]"
 _ANY_CASE = "(?iud)"
+#: The same characters one by one.
+_SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: All characters beyond ASCII that equal one of its letters (i, k, s) where case doesn't count.
+_FOLDED = "\u0130\u0131\u017f\u212a"
 
 
 def _or_empty(text: Column) -> Column:
@@ -26,7 +32,7 @@ def _or_empty(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space, in Unicode's sense, at both ends."""
-    return F.regexp_replace(text, rf"(?U)^{_WS}+|{_WS}+$", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def clean_text(text: Column) -> Column:
@@ -42,6 +48,61 @@ def clean_text(text: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def needed_literals(pattern: str) -> list[tuple[str, ...]]:
+    """What a text must hold, in lower case, for the pattern to match: one literal of each tuple, the longest first."""
+
+    def walk(tree: parser.SubPattern) -> list[tuple[str, ...]]:
+        found, run = [], ""
+        for op, value in tree:
+            if op is ops.LITERAL and value < 128:
+                run += chr(value).lower()
+                continue
+            found, run = found + [(run,)], ""
+            if op is ops.SUBPATTERN:
+                found += walk(value[-1])
+            elif op is ops.MAX_REPEAT and value[0] > 0:
+                found += walk(value[2])
+            elif op is ops.BRANCH:
+                each = [walk(branch) for branch in value[1]]
+                found += [tuple(x for terms in each for x in terms[0])] if all(each) else []
+        return sorted({t for t in [*found, (run,)] if all(t)}, key=lambda t: (-min(map(len, t)), t))
+
+    return walk(parser.parse(pattern))
+
+
+def _may_match(text: Column, patterns: Sequence[str]) -> Column:
+    """Whether the text holds the literals of any of the patterns: a search for words, far cheaper than theirs."""
+
+    def found(low: Column) -> Column:
+        some = [F.contains(text, F.lit(c)) for c in _FOLDED]
+        for p in patterns:
+            terms = [reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in t]) for t in needed_literals(p)]
+            some.append(reduce(lambda a, b: a & b, terms) if terms else F.lit(True))
+        return reduce(lambda a, b: a | b, some)
+
+    return _let(F.lower(text), found)
+
+
+def _cut(text: Column, patterns: Sequence[str]) -> Column:
+    """The text without what the patterns match, one after the other.
+
+    Most texts hold none of their literals and stay as they are.  In the others
+    a pattern is tried if the signs it needs, which have no case, are still there.
+    """
+
+    def step(out: Column, pattern: str) -> Column:
+        signs = sorted({c for t in needed_literals(pattern) if len(t) == 1 for c in t[0] if not c.isalnum() and c != " "})
+        by = lambda t: F.regexp_replace(t, _ANY_CASE + pattern, "")
+        return _let(out, lambda t: F.when(reduce(lambda a, b: a & b, [F.contains(t, F.lit(c)) for c in signs]), by(t)).otherwise(t)) if signs else by(out)
+
+    return _let(text, lambda t: F.when(_may_match(t, patterns), reduce(step, patterns, t)).otherwise(t))
+
+
 def artifact_patterns(mode: str = "compat") -> list[str]:
     """Patterns cut out of texts.
 
@@ -58,7 +119,7 @@ def artifact_patterns(mode: str = "compat") -> list[str]:
 
 def filter_artifacts(text: Column, mode: str = "compat") -> Column:
     """The text without artifacts, stripped; null stays null."""
-    return strip(reduce(lambda t, p: F.regexp_replace(t, _ANY_CASE + p, ""), artifact_patterns(mode), text))
+    return strip(_cut(text, artifact_patterns(mode)))
 
 
 def letter_share(text: Column) -> Column:
@@ -110,7 +171,7 @@ def hits(low: Column, words: Sequence[str]) -> Column:
 
 
 def without_box_artifacts(text: Column) -> Column:
-    return strip(reduce(lambda t, p: F.regexp_replace(t, _ANY_CASE + p, ""), fixed.BOX_ARTIFACTS, _or_empty(text)))
+    return strip(_cut(_or_empty(text), fixed.BOX_ARTIFACTS))
 
 
 def detect_language(text: Column, languages: Mapping[str, Sequence[str]] = fixed.LANGUAGE_KEYWORDS, primary: str = fixed.PRIMARY_LANGUAGE) -> Column:
@@ -118,12 +179,12 @@ def detect_language(text: Column, languages: Mapping[str, Sequence[str]] = fixed
 
     Artifacts are taken out first.  Empty texts are in ``primary``.
     """
-    low = F.lower(without_box_artifacts(text))
-    scores = [F.struct(count_hits(low, words).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("lang")) for i, (name, words) in enumerate(languages.items())]
-    if not scores:
-        return F.lit(primary)
-    best = F.array_max(F.array(*scores))
-    return F.when(best.n > 0, best.lang).otherwise(F.lit(primary))
+    def best(low: Column) -> Column:
+        none = F.struct(F.lit(0).alias("n"), F.lit(1).alias("order"), F.lit(primary).alias("lang"))
+        scores = [F.struct(count_hits(low, words).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("lang")) for i, (name, words) in enumerate(languages.items())]
+        return F.array_max(F.array(none, *scores)).lang if scores else F.lit(primary)
+
+    return _let(F.lower(without_box_artifacts(text)), best)
 
 
 def language_of(text: str, languages: Mapping[str, Sequence[str]] = fixed.LANGUAGE_KEYWORDS, primary: str = fixed.PRIMARY_LANGUAGE) -> str:

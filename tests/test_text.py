@@ -1,6 +1,8 @@
 """Text rules against small independent versions of them."""
 
+import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -108,3 +110,41 @@ def test_fixed_point(spark, values):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
     rows = sorted(df.select("i", fixed_point(F.col("v"), 1).alias("one"), fixed_point(F.col("v"), 2).alias("two")).collect())
     assert [(r.one, r.two) for r in rows] == [(f"{v:.1f}", f"{v:.2f}") for v in values]
+
+
+HOLDING = ["file:///c:/", "FILE:///", "http://", "\\", "d", "/Users/", "/uſers/", "www.", "www\\", "a.png", ".JPG", "storyblo\u212a", "w\u0130kimedia", "wıkimedia.org", "upload.", "upload\\", "Prev", "iew", "preview", "PDF Reader", "12/3/24", " 9:23 AM", "2024-01-02T10:11", "01-02-2024 10:11", "(3x4)", "\\(d", "123*456", " ", "s", "\n", "\x85", "é"]
+
+
+def test_cutting_equals_every_pattern_in_turn(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices(HOLDING, k=rng.randrange(9))) for _ in range(3000)]
+    for patterns in (tx.artifact_patterns(), tx.artifact_patterns("intended"), fixed.BOX_ARTIFACTS):
+        def plain(t, patterns=patterns):
+            for p in patterns:
+                t = F.regexp_replace(t, "(?iud)" + p, "")
+            return F.regexp_replace(t, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+        assert run(spark, texts, lambda t, patterns=patterns: tx.strip(tx._cut(t, patterns))) == run(spark, texts, plain)
+
+
+def test_needed_literals():
+    assert tx.needed_literals(r"www\\.[^\\s]+") == [("www\\",)]
+    assert tx.needed_literals(r"a?https?://(x|)b{0,3}") == [("http",), ("://",)]
+    assert tx.needed_literals(r"-+\.(png|jpg)") == [("png", "jpg"), ("-",), (".",)]
+    assert tx.needed_literals(r"a|\d") == []
+
+
+def test_folded_letters_and_spaces(spark):
+    """Over all characters: those that equal an ASCII letter without case, and those that count as white space."""
+    chars = spark.range(1, 0x110000).where("id < 55296 or id > 57343").select("id", F.decode(F.encode(F.udf(chr)("id"), "utf-8"), "utf-8").alias("c"))
+    letters = "(?iud)^(?:" + "|".join("abcdefghijklmnopqrstuvwxyz") + ")$"
+    assert "".join(chr(r.id) for r in chars.where((F.col("id") > 127) & F.col("c").rlike(letters)).orderBy("id").collect()) == tx._FOLDED
+    assert "".join(chr(r.id) for r in chars.where(F.col("c").rlike(r"(?U)[\s\x1c-\x1f]")).orderBy("id").collect()) == tx._SPACES
+
+
+def test_long_words_are_not_searched_from_every_letter(spark):
+    began = time.perf_counter()
+    word = "a" * 400_000
+    assert run(spark, [word], tx.filter_artifacts) == [word]
+    assert run(spark, [word], tx.detect_language) == ["ita"]
+    assert time.perf_counter() - began < 20
