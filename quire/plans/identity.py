@@ -17,10 +17,11 @@ def detect_identities(segments: DataFrame, config: Config | None = None, clean:
 
     The order matters: base confidence from the first side, adjustment by what
     the whole file holds, then the side by content, then pairs of a page.  Two
-    shuffles, by file and by page, are all it takes.
+    shuffles, by file and by page, are all it takes; contents are analysed before
+    them, so that texts cross neither unless they are asked for.
     """
     config = config or Config.default()
     if clean:
         segments = segments.withColumn("text", clean_text(F.col("text")))
-    adjusted = adjust_confidence(classify(segments, config), config)
-    return pair_segments(content_side(content_analysis(adjusted)))
+    adjusted = adjust_confidence(content_analysis(classify(segments, config)), config)
+    return pair_segments(content_side(adjusted))

@@ -1,6 +1,7 @@
 """Every query against its SQL on the smallest tables."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -49,3 +50,10 @@ def test_results_do_not_depend_on_partitions(spark, data):
     for df in (rows, rows.repartition(13, "text"), rows.coalesce(1)):
         sides.append(sorted((r.doc_id, r.doc_type, r.doc_side, round(r.confidence, 9), str(r.heuristic_applied)) for r in detect_identities(df).collect()))
     assert sides[0] == sides[1] == sides[2]
+
+
+def test_texts_are_not_shuffled_for_best_identities(spark, data):
+    df = queries()["best_id_per_page"](spark, data)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    dealt = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]\nArguments: hashpartitioning", df._jdf.queryExecution().explainString(mode))
+    assert dealt and not any(re.search(r"\b(text|low)#", columns) for columns in dealt)
